@@ -44,8 +44,8 @@ def _pieces(c: Column, delims: str) -> Column:
     if not delims:
         return F.array(c)
     k = _class(delims)
-    p = rf"(?:^|[{k}]) *({_D}[^\"]*+\"[^{k}]*+|{_S}[^']*+'[^{k}]*+|[^{k}]*+)"
-    return F.regexp_extract_all(c, F.lit(p), F.lit(1))
+    p = rf"[{k}] *({_D}[^\"]*+\"[^{k}]*+|{_S}[^']*+'[^{k}]*+|[^{k}]*+)"
+    return F.regexp_extract_all(F.concat(F.lit(delims[0]), c), F.lit(p), F.lit(1))
 
 
 def _undo(x: Column, doubled: str, single: str) -> Column:
