@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.common import clean_id, table
-from evidentia.llm import components, mixing, survivor
+from evidentia.llm import components, linkage, mixing, survivor
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -17,6 +17,20 @@ def query(f):
     return f
 
 
+@query
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """p1_found with the confidence of each match."""
+    q = table(spark, d, "web_search_queue").withColumn("_id", clean_id("work_id"))
+    c = table(spark, d, "canonical_works").withColumn("_id", clean_id("work_id"))
+    got = linkage.link(linkage.describe(q, "_id", "title", "doi", "year", "authors", 0), linkage.describe(c, "_id", "title", "doi", "year", "authors", 1))
+    return got.select(F.col("queue_id").alias("queue_work_id"), "work_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("queue_work_id", "work_id")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "exploration_duplicates_expanded").select(clean_id("preprint_wid").alias("a"), clean_id("published_wid").alias("b"))
     b = table(spark, d, "dedupe_log").select(clean_id("kept_paper_id").alias("a"), clean_id("merged_paper_id").alias("b"))
