@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.common import clean_id, table
-from evidentia.llm import components, linkage, mixing, survivor
+from evidentia.llm import components, leakage, linkage, mixing, reading, survivor
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,6 +58,35 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("group_id", F.col("keep").alias("keep_wid"), F.coalesce("doi", F.lit("")).alias("keep_doi"), F.col("cites").cast("bigint").alias("keep_cites"))
 
 
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    got = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return got.select("item_id", "doc_id")
+
+
+@query
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that lost words to leaks, with what is left of them."""
+    got = leakage.scrub(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return got.where("removed_words > 0")
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "level_labels"), "grader", "reading_level")
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "reading_level")
+
+
+@query
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """How demanding each source's texts are."""
+    docs = table(spark, d, "documents").select("doc_id", mixing.source_key("source").alias("source"))
+    return _levels(spark, d).join(docs, "doc_id").groupBy("source").agg(F.count("*").alias("docs"), F.avg("reading_level").alias("mean_level"), *[F.count_if(F.col("reading_level") == k).alias(f"level_{k}") for k in range(1, 5)])
+
+
 @query
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "mix_targets"), "doc_id", "text", "source")
