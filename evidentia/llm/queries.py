@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.common import clean_id, table
-from evidentia.llm import components, leakage, linkage, mixing, reading, survivor
+from evidentia.llm import components, leakage, linkage, mixing, names, reading, survivor
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,6 +58,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("group_id", F.col("keep").alias("keep_wid"), F.coalesce("doi", F.lit("")).alias("keep_doi"), F.col("cites").cast("bigint").alias("keep_cites"))
 
 
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "manual_seed_works").select(F.explode(F.split("authors", r"[;|]")).alias("name"))
+    last = table(spark, d, "label_ultra_core_ranked").select(F.col("last_author").alias("name"))
+    return names.same_person(names.spellings([seeds, last]))
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     got = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
