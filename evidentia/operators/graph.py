@@ -129,6 +129,20 @@ def in_core_numbers(nodes: DataFrame, edges: DataFrame, most: int = 80) -> DataF
     return out
 
 
+def saturate(start: DataFrame, edges: DataFrame, passes: int) -> DataFrame:
+    """(id, pass): what is reached from `start` along edges, with the pass that first reached it; ends when a pass adds nothing or at the limit."""
+    known = cut(start.select("id").distinct().select("id", F.lit(0).alias("pass")))
+    fresh = known.select("id")
+    e = edges.select("src", "dst")
+    for k in range(1, passes + 1):
+        reach = e.join(fresh.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        fresh = cut(reach.join(known, "id", "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = cut(known.unionByName(fresh.select("id", F.lit(k).alias("pass"))))
+    return known
+
+
 def betweenness(edges: DataFrame, a: str, b: str, top: int, weight: str | None = None) -> DataFrame:
     """(id, betweenness) on the subgraph of the `top` nodes of highest degree, normalised; by hops, or by `weight` as distance. The bound makes it one task's work."""
     return _bounded(edges, a, b, top, weight).groupBy().applyInPandas(_brandes, "id string, betweenness double")

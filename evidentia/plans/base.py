@@ -44,7 +44,7 @@ max({sql_usable('publication_types')}) types, max({sql_usable('abstract')}) abst
 unnest(range(1, len(string_split(authors, ';')) + 1)) pos, len(string_split(authors, ';')) n from works where authors is not null))""",
     # a directed citation graph over part keys
     "edges": "edges as (select distinct l_partkey src, cast(l_suppkey * 20 + l_linenumber as bigint) dst from lineitem where l_partkey <> l_suppkey * 20 + l_linenumber)",
-    "papers": "papers as (select p_partkey id, cast(1975 + p_size as int) as year, cast(p_retailprice as int) cites, p_brand brand, p_type ptype, p_name pname, p_size <= 10 core from part)",
+    "papers": "papers as (select p_partkey id, cast(1975 + p_size as int) as year, cast(floor(p_retailprice) as int) cites, p_brand brand, p_type ptype, p_name pname, p_size <= 10 core from part)",
     # undirected coauthor pairs with their number of shared works
     "coauthors": "coauthors as (select x.author a, y.author b, count(distinct x.work_id) w from mentions x join mentions y on x.work_id = y.work_id and x.author < y.author group by 1, 2)",
     # decisions of agent and human on the same record
@@ -98,7 +98,7 @@ def edges(s: SparkSession, d: str) -> DataFrame:
 
 def papers(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") + 1975).cast("int").alias("year"), F.round("p_retailprice").cast("int").alias("cites"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"), F.col("p_name").alias("pname"), (F.col("p_size") <= 10).alias("core"))
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_size") + 1975).cast("int").alias("year"), F.floor("p_retailprice").cast("int").alias("cites"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"), F.col("p_name").alias("pname"), (F.col("p_size") <= 10).alias("core"))
 
 
 def coauthors(s: SparkSession, d: str) -> DataFrame:
