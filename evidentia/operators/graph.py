@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.common import cut, drop_cut
@@ -83,19 +83,28 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
     return rank.select("id", F.col("r").alias("rank"))
 
 
-def core_numbers(edges: DataFrame, a: str = "src", b: str = "dst", group: Column | None = None) -> DataFrame:
-    """(id, core): the k-core number of each node, direction and loops ignored. Each node's value starts at its degree and falls to the h-index of its
-    neighbours' values until nothing changes; values per neighbour are counted, not gathered."""
+def core_numbers(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(id, core): the k-core number of each node with an edge, direction and loops ignored."""
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    val = cut(e.groupBy(F.col("x").alias("id")).agg(F.count("*").cast("int").alias("h")))
-    from pyspark.sql import Window
+    return _h_fixpoint(cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()))
+
+
+def in_core_numbers(nodes: DataFrame, edges: DataFrame, most: int = 80) -> DataFrame:
+    """(id, core): the largest k up to `most` for which the node survives repeated removal of nodes with fewer than k incoming edges."""
+    ids = nodes.select("id")
+    e = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    got = _h_fixpoint(cut(e.select(F.col("dst").alias("x"), F.col("src").alias("y")).distinct()))
+    return ids.join(got, "id", "left").select("id", F.least(F.coalesce("core", F.lit(0)), F.lit(most)).alias("core"))
+
 
+def _h_fixpoint(e: DataFrame) -> DataFrame:
+    """(id, core) of edges x to y: each node's value starts at its number of neighbours y and falls to the h-index of their values until nothing changes,
+    which is its core number. Values are counted per node, not gathered, so a hub costs as many rows as its neighbours have distinct values."""
+    val = cut(e.groupBy(F.col("x").alias("id")).agg(F.count("*").cast("int").alias("h")))
+    w = Window.partitionBy("x").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        cap = val.select(F.col("id").alias("x"), F.col("h").alias("own"))
-        counts = e.join(val.select(F.col("id").alias("y"), "h"), "y").join(cap, "x").groupBy("x", "own", F.least("h", "own").alias("k")).agg(F.count("*").alias("n"))
-        # distinct values of one node's neighbours, at most its degree of them and few of them in a large one
-        w = Window.partitionBy("x").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+        near = e.join(val.select(F.col("id").alias("y"), "h"), "y", "left").join(val.select(F.col("id").alias("x"), F.col("h").alias("own")), "x")
+        counts = near.groupBy("x", "own", F.least(F.coalesce("h", F.lit(0)), "own").alias("k")).agg(F.count("*").alias("n"))
         new = counts.withColumn("at_least", F.sum("n").over(w)).groupBy(F.col("x").alias("id"), "own").agg(F.max(F.least("k", F.col("at_least").cast("int"))).alias("h"))
         new = cut(new)
         moved = new.where("h <> own").limit(1).count()
@@ -103,32 +112,10 @@ def core_numbers(edges: DataFrame, a: str = "src", b: str = "dst", group: Column
         val = new.select("id", "h")
         val._cut_path = new._cut_path
         if not moved:
+            drop_cut(e)
             return val.select("id", F.col("h").alias("core"))
 
 
-def in_core_numbers(nodes: DataFrame, edges: DataFrame, most: int = 80) -> DataFrame:
-    """(id, core): the largest k up to `most` for which the node survives repeated removal of nodes with fewer than k incoming edges."""
-    alive = cut(nodes.select("id"))
-    e = cut(edges.select("src", "dst"))
-    done: list[DataFrame] = []
-    for k in range(1, most + 1):
-        while True:
-            deg = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("id")
-            keep = cut(alive.join(deg, "id", "left_semi"))
-            gone = cut(alive.join(keep, "id", "left_anti"))
-            if gone.isEmpty():
-                break
-            done.append(gone.select("id", F.lit(k - 1).alias("core")))
-            alive = keep
-            e = cut(e.join(alive.select(F.col("id").alias("src")), "src", "left_semi").join(alive.select(F.col("id").alias("dst")), "dst", "left_semi"))
-        if alive.isEmpty():
-            break
-    out = alive.select("id", F.lit(most).alias("core"))
-    for x in done:
-        out = out.unionByName(x)
-    return out
-
-
 def saturate(start: DataFrame, edges: DataFrame, passes: int) -> DataFrame:
     """(id, pass): what is reached from `start` along edges, with the pass that first reached it; ends when a pass adds nothing or at the limit."""
     known = cut(start.select("id").distinct().select("id", F.lit(0).alias("pass")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.common import cut, drop_cut
@@ -98,9 +98,7 @@ def top_by_key(df: DataFrame, key: str, value: str, item: str, k: int) -> DataFr
     order = F.struct((-F.col("v")).alias("v"), F.col("item").alias("item"))
     cut_k = lambda c: F.slice(F.array_sort(c), 1, k)
     # the first grouping keeps k rows of a salt by a bounded window, the second sees at most k * SALTS rows a key
-    from pyspark.sql import Window
-
     w = Window.partitionBy("k", "_salt").orderBy(F.desc("v"), "item")
     few = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     best = few.groupBy("k").agg(cut_k(F.collect_list(order)).alias("best"))
-    return best.select(F.col("k").alias(key), F.posexplode("best").alias("place", "b")).select(key, (F.col("place") + 1).cast("int").alias("place"), F.col("b.item").alias(item))
+    return best.select(F.col("k").alias(key), F.posexplode("best").alias("_place", "_b")).select(key, (F.col("_place") + 1).cast("int").alias("place"), F.col("_b.item").alias(item))
