@@ -87,9 +87,11 @@ def infer_delimiters(df: DataFrame, cell: str, source: str) -> dict[str, tuple[s
 
     A candidate is judged in the cells where it is the only candidate outside quotes (a blank only where no other occurs).
     Piece-type regularity is the share of its pieces that also occur in the source without this candidate (whole cells, quoted
-    values, pieces of other candidates; digits count alike); piece-count consistency is the share of its cells whose pieces
-    all have one type. Score: the product, averaged with the candidate's prior as one more cell. Distinct cells are counted
-    first, so a cell repeated in a third of the rows is judged once, by weight.
+    values, pieces of other candidates; digits count alike). A usual separator (prior of ACCEPT or more) loses only what it falls
+    short of the share among undivided cells, so a source whose values never recur is still split; an unusual one must earn the
+    share itself. Piece-count consistency is the share of its cells whose pieces all have one type. Score: the product, averaged
+    with the candidate's prior as one more cell. Distinct cells are counted first, so a cell repeated in a third of the rows is
+    judged once, by weight.
     """
     marks = [c for c in CANDIDATES if c != " "]
     cells = df.select(F.col(source).alias("_s"), _inner(usable(cell)).alias("_c")).where("_c is not null").groupBy("_s", "_c").agg(F.count("*").alias("_w"))
@@ -122,7 +124,7 @@ def infer_delimiters(df: DataFrame, cell: str, source: str) -> dict[str, tuple[s
     # a blank's own whole cells also count as undivided values, else no value of two words could be known
     whole = cells.withColumn("_h", F.when(F.col("_d") == " ", F.array(F.array_join("_h", " "))).otherwise(F.col("_h")))
     vocabulary = whole.select("_s", F.when(F.col("_d") != " ", F.col("_d")).otherwise("").alias("_vd"), F.explode("_h").alias("_h")).groupBy("_s", "_h").agg(F.min("_vd").alias("_lo"), F.max("_vd").alias("_hi"))
-    pieces = cells.where("_d <> ''").select("_s", "_d", "_w", F.explode("_h").alias("_h"))
+    pieces = cells.select("_s", "_d", "_w", F.explode("_h").alias("_h"))
     regular = (
         pieces.groupBy("_s", "_d", "_h").agg(F.sum("_w").alias("_w")).join(vocabulary, ["_s", "_h"])
         .groupBy("_s", "_d").agg(F.sum(F.when((F.col("_lo") != F.col("_d")) | (F.col("_hi") != F.col("_d")), F.col("_w")).otherwise(0)).alias("good"), F.sum("_w").alias("all"))
@@ -135,10 +137,13 @@ def infer_delimiters(df: DataFrame, cell: str, source: str) -> dict[str, tuple[s
     found = {}
     for s, by in out.items():
         keep = ""
+        whole = by.get("")
+        base = (whole["good"] or 0) / whole["all"] if whole and whole["all"] else 0.0
         for d, prior in CANDIDATES.items():
             r = by.get(d)
             n = r["n"] if r else 0
-            got = (r["good"] or 0) / r["all"] * (r["same"] / n) if r and r["all"] else 0.0
+            share = (r["good"] or 0) / r["all"] if r and r["all"] else 0.0
+            got = (1 - max(0.0, base - share) if prior >= ACCEPT else share) * (r["same"] / n) if n else 0.0
             if (got * n + prior) / (n + 1) >= ACCEPT:
                 keep += d
         found[s] = (keep, sum(r["pairs"] for r in by.values()) * 2 > sum(r["n"] for r in by.values()))
