@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.common import spread
+
 #: Words of an item that must stand in a row, and the edits allowed among them.
 WORDS, EDITS = 25, 1
 #: Characters of items in one automaton; more items are taken in blocks, one pass over the documents each.
@@ -80,14 +82,21 @@ class Automaton:
             parts.append("".join(ws) + "\x01")
             at += 1
         self.text = "".join(parts)
-        half = (words - EDITS) // 2  # of words with one edit, one side has so many
-        self.least = min((e[k + half - 1] - b[k] for b, e in zip(self.begin, self.end) for k in range(len(b) - half + 1)), default=1)
+        half = self.half = (words - EDITS) // 2  # of words with one edit, one side has so many
+        least = [min(e[k + half - 1] - b[k] for k in range(len(b) - half + 1)) for b, e in zip(self.begin, self.end)]
+        self.least = min(least, default=1)
         self._build()
-        self.grams = defaultdict(list)
-        for p in range(len(self.text) - self.least + 1):
-            g = self.text[p : p + self.least]
-            if "\x01" not in g:
-                self.grams[g].append(p)
+        # items by the letters half of the words take at least; each kind is looked up by grams of its own length
+        kinds = defaultdict(list)
+        for k, n in enumerate(least):
+            kinds[n // 16].append(k)
+        self.kinds = []
+        for ks in (kinds[x] for x in sorted(kinds)):
+            n, grams = min(least[k] for k in ks), defaultdict(list)
+            for k in ks:
+                for p in range(self.starts[k], self.end[k][-1] - n + 1):
+                    grams[self.text[p : p + n]].append(p)
+            self.kinds.append((n, dict(grams)))
 
     def _build(self) -> None:
         nxt, link, length, last = [{}], [-1], [0], 0
@@ -155,10 +164,15 @@ class Automaton:
         if not segs:
             return {}
         lines: dict[int, list[int]] = defaultdict(list)  # place in the items minus place in s: places in s
-        for a, b in segs:
-            for x in range(a, b - self.least + 1):
-                for y in self.grams.get(s[x : x + self.least], ()):
-                    lines[y - x].append(x)
+        for n, grams in self.kinds:
+            done = 0
+            for a, b in segs:  # in order of their ends, and so of their starts
+                if b - a < n:
+                    continue
+                for x in range(max(a, done), b - n + 1):
+                    for y in grams.get(s[x : x + n], ()):
+                        lines[y - x].append(x)
+                done = max(done, b - n + 1)
         tokens, at = [], 0
         for w in p.split():
             n = len(letters(w))
@@ -187,7 +201,7 @@ class Automaton:
         while hi < len(s) and hi + d < end[-1] and s[hi] == t[hi + d]:
             hi += 1
         a, b = bisect_left(begin, lo + d), bisect_right(end, hi + d)  # words a..b-1 are whole
-        if b <= a:
+        if b - a < self.half:
             return (0, 0, 0), hi
         left, right = begin[a] - d, end[b - 1] - d
         best = (b - a, left, right)
@@ -264,7 +278,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                 rows = [(i, d, got[0]) for d, t in zip(b[doc_id], b[text]) for i, got in auto.found(t).items()]
                 yield pd.DataFrame(rows, columns=[item_id, doc_id, "words"])
 
-        out = out.unionByName(docs.select(doc_id, text).mapInPandas(scan, schema))
+        out = out.unionByName(spread(docs.select(doc_id, text)).mapInPandas(scan, schema))
     return out
 
 
@@ -296,4 +310,4 @@ def scrub(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                 rows.append((d, None if sum(gone) > coverage * len(gone) else re.sub(r"[ \t]{2,}", " ", "".join(keep)).strip(), n))
             yield pd.DataFrame(rows, columns=[doc_id, text, "removed_words"])
 
-    return docs.select(doc_id, text).mapInPandas(clean, f"{doc_id} bigint, {text} string, removed_words int")
+    return spread(docs.select(doc_id, text)).mapInPandas(clean, f"{doc_id} bigint, {text} string, removed_words int")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.common import cut, spread
+
 TOKENIZER = os.environ.get("EVIDENTIA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 _LOADED: dict = {}
 
@@ -81,7 +83,9 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str, text: str, source: str,
     rate of their source. Only per-source totals reach the driver, as many rows as targets has.
     """
     key = source_key(source)
-    counted = docs.select(F.col(ident).alias("_id"), key.alias("_src"), n_tokens(F.col(text), path).alias("_n"))
+    few = spread(docs.select(F.col(ident).alias("_id"), key.alias("_src"), F.col(text).alias("_t")))
+    # written once: the totals, the draw and the report read the counts, not the texts again
+    counted = cut(few.select("_id", "_src", n_tokens(F.col("_t"), path).alias("_n")))
     sums = counted.groupBy("_src").agg(F.count("*").alias("docs"), F.sum("_n").alias("tokens"))
     t = targets.select(source_key("source").alias("_src"), F.coalesce(F.col("target_share"), F.lit(0.0)).alias("w"), F.coalesce(F.col("max_repeats"), F.lit(0)).alias("cap"))
     t = t.where("_src is not null").groupBy("_src").agg(F.sum("w").alias("w"), F.min("cap").alias("cap"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.common import spread
 from evidentia.llm.leakage import plain
 
 LEVELS = 4
@@ -235,4 +236,4 @@ def reading_levels(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, g
                     rows.append((d, int(z.argmax()) + 1, float(z.max()), *map(float, z)))
             yield pd.DataFrame(rows, columns=[doc_id, "reading_level", "confidence", "p1", "p2", "p3", "p4"])
 
-    return docs.select(doc_id, text).mapInPandas(score, schema)
+    return spread(docs.select(doc_id, text)).mapInPandas(score, schema)
