@@ -33,7 +33,7 @@ def orphans(periods: DataFrame, register: DataFrame) -> DataFrame:
     keys = periods.groupBy("ref").agg(F.collect_list(p).alias("p"))
     gone = keys.join(register.select("ref"), "ref", "left_anti").select("ref", F.explode("p").alias("p")).select("ref", "p.*", F.lit("missing").alias("kind"))
     there = keys.join(register, "ref").select("ref", "seen_at", "retired_at", F.explode("p").alias("p")).select("ref", "seen_at", "retired_at", "p.*")
-    late = there.where("first_at < seen_at").withColumn("kind", F.lit("later"))
-    dead = there.where("last_at >= retired_at").withColumn("kind", F.lit("deleted"))
+    kinds = F.array_compact(F.array(F.when(F.col("first_at") < F.col("seen_at"), "later"), F.when(F.col("last_at") >= F.col("retired_at"), "deleted")))
+    out = there.withColumn("kind", F.explode(kinds))
     cols = ["src_table", "ref", "ref_month", "kind", F.col("n").alias("n_refs")]
-    return gone.select(*cols).unionByName(late.select(*cols)).unionByName(dead.select(*cols))
+    return gone.select(*cols).unionByName(out.select(*cols))
