@@ -56,7 +56,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, weight: str | None = None, teleport: str | None = None, tol: float | None = None) -> DataFrame:
     """(id, rank): power iteration over `rounds` rounds, or until the L1 change is below n * tol. Edge weights and a teleport distribution are optional; the
-    mass of nodes without outgoing edges returns by the teleport distribution. Lineage is cut every fifth round."""
+    mass of nodes without outgoing edges returns by the teleport distribution. Ranks, a row a node, are written each round, so lineage stays short."""
     t = F.col(teleport) if teleport else F.lit(1.0)
     v = nodes.select("id", t.cast("double").alias("t"))
     s = v.agg(F.sum("t"), F.count("*")).first()
@@ -70,16 +70,15 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
     e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("sw")).alias("p")))
     rank = v.join(out.withColumnRenamed("src", "id").select("id", F.lit(True).alias("has")), "id", "left").select("id", "t", F.coalesce("has", F.lit(False)).alias("has"), F.lit(1.0 / n).alias("r"))
     rank = cut(rank)
-    for k in range(rounds):
-        loss = rank.agg(F.coalesce(F.sum(F.when(~F.col("has"), F.col("r"))), F.lit(0.0)).alias("loss"))
+    for _ in range(rounds):
+        loss = rank.agg(F.sum(F.when(~F.col("has"), F.col("r")))).first()[0] or 0.0
         flow = e.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("r")).alias("f"))
-        new = rank.join(flow, "id", "left").crossJoin(F.broadcast(loss)).select("id", "t", "has", F.col("r").alias("old"), (F.lit(damping) * (F.coalesce("f", F.lit(0.0)) + F.col("loss") * F.col("t")) + F.lit(1 - damping) * F.col("t")).alias("r"))
-        if k % 5 == 4 or tol is not None:
-            new = cut(new)
-            if tol is not None and new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < n * tol:
-                rank = new
-                break
-        rank = new.select("id", "t", "has", "r")
+        back = F.lit(damping * loss + 1 - damping) * F.col("t")
+        new = cut(rank.join(flow, "id", "left").select("id", "t", "has", F.col("r").alias("old"), (F.lit(damping) * F.coalesce("f", F.lit(0.0)) + back).alias("r")))
+        drop_cut(rank)
+        rank = new
+        if tol is not None and new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < n * tol:
+            break
     return rank.select("id", F.col("r").alias("rank"))
 
 

@@ -159,11 +159,19 @@ def threshold_curve(df: DataFrame, value: str, steps: list[int]) -> DataFrame:
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, agreement, kappa): Cohen's kappa, null where chance agreement is certain. The raters' confusion table is all that is shuffled."""
     c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c"))
-    pa, pb = c.groupBy(F.col("a").alias("k")).agg(F.sum("c").alias("x")), c.groupBy(F.col("b").alias("k")).agg(F.sum("c").alias("y"))
-    chance = pa.join(pb, "k").agg(F.coalesce(F.sum(F.col("x").cast("double") * F.col("y")), F.lit(0.0)).alias("s"))
-    n = c.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0)).alias("o"))
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(F.struct(F.col("a").alias("k"), F.col("c").alias("x"), zero.alias("y"), F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(zero).alias("o")), F.struct(F.col("b").alias("k"), zero.alias("x"), F.col("c").alias("y"), zero.alias("o")))
+    k = c.select(F.inline(sides)).groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("o").alias("o"))
+    one = k.agg(F.sum("x").alias("n"), F.sum("o").alias("o"), F.sum(F.col("x").cast("double") * F.col("y")).alias("s"))
     po, pe = F.col("o") / F.col("n"), F.col("s") / (F.col("n").cast("double") * F.col("n"))
-    return n.join(chance).select("n", F.round(po, 6).alias("agreement"), F.when(pe != 1, F.round((po - pe) / (1 - pe), 6)).alias("kappa"))
+    return one.select(F.coalesce("n", zero).alias("n"), F.round(po, 6).alias("agreement"), F.when(pe != 1, F.round((po - pe) / (1 - pe), 6)).alias("kappa"))
+
+
+def distinct_counts(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """One row with the number of distinct non-null values of each column, by new name: one shuffle of the distinct (column, value) pairs."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("c"), F.col(c).cast("string").alias("v")) for c, n in cols.items()])
+    n = df.select(F.inline(pairs)).where("v is not null").distinct().groupBy("c").agg(F.count("*").alias("n"))
+    return n.agg(*[F.coalesce(F.max(F.when(F.col("c") == x, F.col("n"))), F.lit(0).cast("bigint")).alias(x) for x in cols.values()])
 
 
 def bins(df: DataFrame, value: str, starts: list[float]) -> DataFrame:
@@ -205,8 +213,8 @@ def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
 def percentile_rank(df: DataFrame, value: str, key: str) -> DataFrame:
     """df with pr = i / (n - 1) over (value, key) order; 1 for a single row."""
     r = global_rank(df, [F.asc(value), F.asc(key)])
-    n = df.agg(F.count("*").alias("_n"))
-    return r.join(F.broadcast(n)).withColumn("pr", F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((F.col("rank") - 1) / (F.col("_n") - 1))).drop("_n", "rank")
+    n = r.count()
+    return r.withColumn("pr", F.lit(1.0) if n == 1 else (F.col("rank") - 1) / F.lit(n - 1)).drop("rank")
 
 
 def average_rank(df: DataFrame, value: str, within_: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.common import clean_id, table, usable
@@ -289,10 +290,9 @@ def q6_bridge_triage(s, d):
 @q("""with k as (select case when core then 'core' when year >= 2015 then 'recent' else 'old' end cat from papers) select cat, count(*) n, (select count(*) from papers) total from k group by 1""")
 def q7_accounting(s, d):
     k = papers(s, d).groupBy(R.first_match([("core", F.col("core")), ("recent", F.col("year") >= 2015)], "old").alias("cat")).agg(F.count("*").alias("n"))
-    total = papers(s, d).agg(F.count("*").alias("total"))
-    parts = k.agg(F.sum("n").alias("sum"))
-    ok = total.join(parts).select(F.when(F.col("sum") == F.col("total"), F.col("total")).otherwise(F.raise_error(F.lit("parts do not add up")).cast("bigint")).alias("total"))
-    return k.join(F.broadcast(ok))
+    total = papers(s, d).count()
+    parts = F.sum("n").over(Window.partitionBy(F.lit(0)))  # three rows
+    return k.select("cat", "n", F.when(parts == total, F.lit(total)).otherwise(F.raise_error(F.lit("parts do not add up")).cast("bigint")).alias("total"))
 
 
 @q(f"""with recursive l as (select distinct lower({sql_usable('preprint_wid')}) a, lower({sql_usable('published_wid')}) b from exploration_duplicates_expanded where {sql_usable('preprint_wid')} is not null and {sql_usable('published_wid')} is not null), e as (select a x, b y from l where a <> b union select b, a from l where a <> b), r as (select distinct x s, x t from e union select r.s, e.y from r join e on e.x = r.t), g as (select s id, min(t) grp from r group by 1)
@@ -343,9 +343,9 @@ def q12_people_reconcile(s, d):
 def q13_people_matrix(s, d):
     p = people(mentions(s, d))
     k = coauthors(s, d).select(F.explode(F.array("a", "b")).alias("author")).groupBy("author").agg(F.count("*").alias("coauthors_n"))
-    edge = p.agg(F.percentile("works", F.lit(0.95)).alias("edge"))
-    x = p.join(k, "author", "left").na.fill(0, ["coauthors_n"]).join(F.broadcast(edge))
-    return x.select("author", "works", (F.col("last_year") - F.col("first_year")).alias("span"), "coauthors_n", (F.col("works") > F.col("edge")).alias("outlier"))
+    edge = p.agg(F.percentile("works", F.lit(0.95))).first()[0]
+    x = p.join(k, "author", "left").na.fill(0, ["coauthors_n"])
+    return x.select("author", "works", (F.col("last_year") - F.col("first_year")).alias("span"), "coauthors_n", (F.col("works") > F.lit(edge)).alias("outlier"))
 
 
 @q("""with g as (select p.id, p.brand, (select count(*) from edges e where e.dst = p.id) i, (select count(*) from edges e where e.src = p.id) o from papers p), x as (select brand, case when i >= 50 then 'hub' when i = 0 and o = 0 then 'isolate' when i = 0 then 'only_out' when o = 0 then 'only_in' else 'broker' end as role, i, o from g) select brand, role, count(*) n, round(median(i), 4) med_in, round(median(o), 4) med_out from x group by 1, 2""")
@@ -373,8 +373,6 @@ def q16_people_tables(s, d):
     m = mentions(s, d).where("comm is not null")
     t = m.groupBy("author").agg(F.countDistinct("work_id").alias("works"), F.sum("cites").alias("cites"), F.bool_or(_slot() != "middle").alias("edge")).where("edge or works > 1")
     top = t.orderBy(F.desc("works"), F.desc_nulls_last("cites"), "author").limit(100)
-    from pyspark.sql import Window
-
     return top.select("author", "works", "cites", F.row_number().over(Window.orderBy(F.desc("works"), F.desc_nulls_last("cites"), "author")).alias("r"))
 
 
@@ -419,8 +417,6 @@ def q21_decision_remap(s, d):
 @q("""with x as (select work_id, year, cites, cast(row_number() over (partition by year // 10 order by cites desc, work_id) as int) k, (rank() over (partition by year order by cites) + (count(*) over (partition by year, cites) - 1) / 2.0) / count(*) over (partition by year) p from works where year is not null and cites is not null), m as (select year, median(cites) med from x group by 1)
 select work_id, k, round(p, 6) p, round((cites + 1) / (med + 1), 6) res from x join m on m.year = x.year""")
 def q22_filter_measures(s, d):
-    from pyspark.sql import Window
-
     w = works(s, d).where("year is not null and cites is not null").select("work_id", "year", "cites")
     med = w.groupBy("year").agg(F.median("cites").alias("med"))
     x = O.average_rank(w, "cites", "year").join(med, "year")
@@ -555,6 +551,15 @@ def q39_identifier_check(s, d):
     return x.select("seed_row", R.first_match([("no_doi", F.col("doi").isNull()), ("not_found", F.col("hit").isNull()), ("match", S.normalize_title("title") == F.col("nt"))], "title_differs").alias("status"))
 
 
+_ATTEMPT = [("resolved", "error is null"), ("throttled", "regexp_matches(error, '429')"), ("failed", "true")]
+
+
+@q(f"select error_no, {R.sql_first(_ATTEMPT)} outcome from pass2_errors")
+def q40_attempt_outcome(s, d):
+    e = F.col("error")
+    return table(s, d, "pass2_errors").select("error_no", R.first_match([("resolved", e.isNull()), ("throttled", e.rlike("429")), ("failed", F.lit(True))]).alias("outcome"))
+
+
 @q(r"""with x as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda v: v <> '') p from documents where text is not null) select doc_id, md5(p[1]) first_part, md5(p[-1]) last_part, cast(len(p) as int) n from x where len(p) > 0""")
 def q41_sentence_fields(s, d):
     x = table(s, d, "documents").where("text is not null").select("doc_id", S.sentences_of("text").alias("p")).where(F.size("p") > 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.common import table, usable
 from evidentia.functions import rules as R
 from evidentia.functions import scalars as S
+from evidentia.operators.relational import overlaps
 from evidentia.plans.base import Registry, mentions, papers, reviews, seeds, sql_usable, works
 
 REG = Registry()
@@ -241,6 +242,16 @@ def f30_core_gate(s, d):
     return seeds(s, d).select("seed_row", F.when(not_core, None).otherwise(F.coalesce("core_gate", by_title)).alias("gate"))
 
 
+@q("""with n as (select author, lower(string_split(author, ' ')[-1]) sn, substr(lower(author), 1, 1) i, min(year) y1, max(year) y2, count(*) k from mentions group by author) select x.author a, y.author b,
+case when coalesce(x.y2 < y.y1, false) or coalesce(y.y2 < x.y1, false) then 'collision' when x.k >= 2 and y.k >= 2 then 'probable' when x.k >= 2 or y.k >= 2 then 'possible' else 'ambiguous' end cls from n x join n y on x.sn = y.sn and x.i = y.i and x.author < y.author""")
+def f31_pair_class(s, d):
+    n = mentions(s, d).groupBy("author").agg(F.min("year").alias("y1"), F.max("year").alias("y2"), F.count("*").alias("k")).withColumn("sn", F.lower(F.element_at(F.split("author", " "), -1))).withColumn("i", F.substring(F.lower("author"), 1, 1))
+    y = n.select(F.col("author").alias("b"), "sn", "i", F.col("y1").alias("b1"), F.col("y2").alias("b2"), F.col("k").alias("k2"))
+    many, other = F.col("k") >= 2, F.col("k2") >= 2
+    apart = ~overlaps(*[F.col(c) for c in ("y1", "y2", "b1", "b2")])
+    return n.join(y, ["sn", "i"]).where("author < b").select(F.col("author").alias("a"), "b", R.first_match([("collision", apart), ("probable", many & other), ("possible", many | other)], "ambiguous").alias("cls"))
+
+
 @q("""select decision_no, case when agent = human then 0 when agent is null or human is null then 1 when 'core_relevant' in (agent, human) and 'out_of_scope' in (agent, human) then 5 when 'core_relevant' in (agent, human) then 4 when 'out_of_scope' in (agent, human) then 3 else 2 end stake from reviews""")
 def f32_stake_tier(s, d):
     a, h = F.col("agent"), F.col("human")
