@@ -101,10 +101,10 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str, text: str, source: str,
     mixed = taken.groupBy("_src").agg(
         F.count("*").alias("docs"), F.sum("_n").alias("tokens"), F.max("_rate").alias("rate"), F.max("_copies").alias("most_copies"), F.sum("_copies").cast("bigint").alias("mixed_docs"), F.sum(F.col("_n") * F.col("_copies")).alias("mixed_tokens")
     )
-    whole = mixed.agg(F.sum("mixed_tokens").alias("all"))
+    whole = mixed.agg(F.sum("mixed_tokens")).first()[0] or 0
     report = mixed.join(t, mixed["_src"].eqNullSafe(t["_src"]), "full_outer").select(
         F.coalesce(mixed["_src"], t["_src"]).alias("source"), F.col("w").alias("target_share"), F.col("cap").alias("max_repeats"),
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("docs", "tokens", "rate", "most_copies", "mixed_docs", "mixed_tokens")],
     )
-    report = report.join(F.broadcast(whole)).withColumn("mixed_share", F.when(F.col("all") > 0, F.col("mixed_tokens") / F.col("all")).otherwise(0.0)).drop("all")
+    report = report.withColumn("mixed_share", F.col("mixed_tokens") / F.lit(float(whole)) if whole else F.lit(0.0))
     return copies, report
