@@ -201,7 +201,8 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, grader: st
     """A model from the gradings of documents that are English prose; None if there are none. At most `sample` graded documents, drawn by hash of their id."""
     good = labels.where(F.col(level).between(1, LEVELS) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.coalesce(F.col(grader), F.lit("")).alias("g"), F.col(level).alias("y")).distinct()
     graded = good.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("g", "y"))).alias("x")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(graded, "_id").orderBy("_id").collect()
+    # `sample` rows at most, so they may be broadcast and the texts stay where they are
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(graded), "_id").orderBy("_id").collect()
     texts, gradings = [], []
     for r in rows:
         p = plain(r["t"] or "")
