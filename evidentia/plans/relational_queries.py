@@ -145,9 +145,9 @@ def j9_year_gap(s, d):
     return a.join(b, "title").where("seed_row < other").where(O.within(F.col("year"), F.col("y2"), 2)).select("seed_row", "other")
 
 
-@q("""with m as (select author, min(year) y1, max(year) y2, split_part(author, ' ', 1) g from mentions group by author) select a.author a, b.author b from m a join m b on a.g = b.g and a.author < b.author and not (coalesce(a.y2 < b.y1, false) or coalesce(b.y2 < a.y1, false)) where a.g not like '%.%' and a.y1 > 2024 and b.y1 > 2024""")
+@q("""with m as (select author, min(year) y1, max(year) y2, string_split(author, ' ')[-1] g from mentions group by author) select a.author a, b.author b from m a join m b on a.g = b.g and a.author < b.author and not (coalesce(a.y2 < b.y1, false) or coalesce(b.y2 < a.y1, false))""")
 def j10_interval_overlap(s, d):
-    m = mentions(s, d).groupBy("author").agg(F.min("year").alias("y1"), F.max("year").alias("y2")).withColumn("g", F.substring_index("author", " ", 1)).where("g not like '%.%' and y1 > 2024")
+    m = mentions(s, d).groupBy("author").agg(F.min("year").alias("y1"), F.max("year").alias("y2")).withColumn("g", F.element_at(F.split("author", " "), -1))
     a, b = m.select(F.col("author").alias("a"), "g", F.col("y1").alias("a1"), F.col("y2").alias("a2")), m.select(F.col("author").alias("b"), "g", F.col("y1").alias("b1"), F.col("y2").alias("b2"))
     return a.join(b, "g").where("a < b").where(O.overlaps(*[F.col(c) for c in ("a1", "a2", "b1", "b2")])).select("a", "b")
 
