@@ -154,15 +154,22 @@ class Automaton:
             out.append((len(s) - n, len(s)))
         return out
 
-    def found(self, text: str | None) -> dict[int, tuple[int, int, int]]:
-        """item id: (most words in a row, with at most one edit; start and end of them among the letters of the text), for items with enough words."""
+    def found(self, text: str | None) -> dict[int, int]:
+        """item id: most words in a row, with at most one edit, for items with enough words."""
+        best: dict[int, int] = {}
+        for i, n, _, _ in self.passages(text):
+            best[i] = max(n, best.get(i, 0))
+        return best
+
+    def passages(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item id, words in a row, with at most one edit; start and end of them among the letters of the text): every run with enough words."""
         if not text or not self.ids:
-            return {}
+            return []
         p = plain(text)
         s = letters(p)
         segs = self.segments(s)
         if not segs:
-            return {}
+            return []
         lines: dict[int, list[int]] = defaultdict(list)  # place in the items minus place in s: places in s
         for n, grams in self.kinds:
             done = 0
@@ -180,20 +187,19 @@ class Automaton:
                 tokens.append(at)
                 at += n
         tokens.append(at)
-        best: dict[int, tuple[int, int, int]] = {}
+        out = []
         for d, xs in lines.items():
             until = -1
             for x in sorted(set(xs)):
                 if x < until:
                     continue
                 k = bisect_right(self.starts, x + d) - 1
-                got, until = self._run(s, x, d, k, tokens)
-                if got[0] >= self.need and got[0] > best.get(self.ids[k], (0,))[0]:
-                    best[self.ids[k]] = got
-        return best
+                got, until = self._runs(s, x, d, k, tokens)
+                out += [(self.ids[k], *run) for run in got if run[0] >= self.need]
+        return out
 
-    def _run(self, s: str, x: int, d: int, k: int, tokens: list[int]) -> tuple[tuple[int, int, int], int]:
-        """The exact run through s[x] and text[x + d], widened over one edit on either side."""
+    def _runs(self, s: str, x: int, d: int, k: int, tokens: list[int]) -> tuple[list[tuple[int, int, int]], int]:
+        """(words, start, end) of the exact run through s[x] and text[x + d], as it is and widened over one edit on either side; the place where it ends."""
         t, begin, end = self.text, self.begin[k], self.end[k]
         lo, hi = x, x
         while lo > 0 and lo + d > begin[0] and s[lo - 1] == t[lo + d - 1]:
@@ -202,14 +208,10 @@ class Automaton:
             hi += 1
         a, b = bisect_left(begin, lo + d), bisect_right(end, hi + d)  # words a..b-1 are whole
         if b - a < self.half:
-            return (0, 0, 0), hi
+            return [], hi
         left, right = begin[a] - d, end[b - 1] - d
-        best = (b - a, left, right)
-        for n, stop in self._right(s, right, b, k, tokens):
-            best = max(best, (b - a + n, left, stop))
-        for n, stop in self._left(s, left, a, k, tokens):
-            best = max(best, (b - a + n, stop, right))
-        return best, hi
+        wider = [(b - a + n, left, stop) for n, stop in self._right(s, right, b, k, tokens)] + [(b - a + n, stop, right) for n, stop in self._left(s, left, a, k, tokens)]
+        return [(b - a, left, right), *wider], hi
 
     def _right(self, s: str, at: int, w: int, k: int, tokens: list[int]) -> Iterator[tuple[int, int]]:
         """(words gained, end) going on after one edit: word w left out, changed, or another added before it."""
@@ -275,7 +277,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         def scan(batches: Iterator[pd.DataFrame], block: tuple = block) -> Iterator[pd.DataFrame]:
             auto = _automaton(block, words)
             for b in batches:
-                rows = [(i, d, got[0]) for d, t in zip(b[doc_id], b[text]) for i, got in auto.found(t).items()]
+                rows = [(i, d, n) for d, t in zip(b[doc_id], b[text]) for i, n in auto.found(t).items()]
                 yield pd.DataFrame(rows, columns=[item_id, doc_id, "words"])
 
         out = out.unionByName(spread(docs.select(doc_id, text)).mapInPandas(scan, schema))
@@ -283,7 +285,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
 
 def scrub(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, text, removed_words): the documents without leaked spans. A document of which more than `coverage` of the letters leaked has a null text.
+    """(doc_id, text, removed_words): the documents without any leaked span, several of one item included. A document of which more than `coverage` of the letters leaked has a null text.
     Texts without leaks stay as they are; others lose their markup with the spans."""
     blocks = _blocks(items, item_id, item_text)
 
@@ -291,13 +293,13 @@ def scrub(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         for b in batches:
             rows = []
             for d, t in zip(b[doc_id], b[text]):
-                spans = [got for block in blocks for got in _automaton(block, words).found(t).values()]
+                spans = [got for block in blocks for got in _automaton(block, words).passages(t)]
                 if not spans:
                     rows.append((d, t, 0))
                     continue
                 p = plain(t)
                 gone = [False] * len(letters(p))
-                for _, x, y in spans:
+                for _, _, x, y in spans:
                     gone[x:y] = [True] * (y - x)
                 keep, at, n = [], 0, 0
                 for w in re.findall(r"\S+|\s+", p):

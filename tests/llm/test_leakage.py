@@ -77,6 +77,20 @@ def test_scrub_removes_the_span(spark):
     assert got[3].text == "fine" and got[4].text is None
 
 
+def test_scrub_removes_every_span_of_an_item(spark):
+    one, two = " ".join(ITEM[:27]), " ".join(ITEM[40:66])
+    edited = " ".join(ITEM[:12] + ["xaxa"] + ITEM[13:33] + ["yoyo"] + ITEM[34:44])
+    other = [" ".join(WORDS[200 * k : 200 * k + 150]) for k in range(3)]
+    texts = [f"{other[0]} {one} {other[1]} {two} {other[2]}", f"{other[0]} {one} {other[1]} {one} {other[2]}", f"{other[0]} {edited} {other[1]}", f"{one} gap {two} " + " ".join(WORDS[:40])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, " ".join(ITEM))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in L.scrub(d, "doc_id", "text", e, "item_id", "text").collect()}
+    assert got[0].text == " ".join(other) and got[0].removed_words == 53
+    assert got[1].text == " ".join(other) and got[1].removed_words == 54
+    assert got[2].text == " ".join(other[:2]) and got[2].removed_words == 44
+    assert got[3].text is None
+
+
 @pytest.mark.parametrize("bad", ["<", "&#x110000;", "<p", "&&amp;", "퟿"])
 def test_odd_markup_does_not_fail(bad):
     assert isinstance(L.plain(bad * 50), str)
