@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import pytest
@@ -53,20 +54,50 @@ def test_items_in_blocks_and_shared_passages(spark, monkeypatch):
     texts = [around(shared), around(" ".join(ITEM[41:69]))]
     want = {(1, 0), (2, 0), (3, 1)}
     assert hits(spark, texts, items) == want
-    monkeypatch.setattr(L, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(L, "BLOCK_LETTERS", 200)
+    assert hits(spark, texts, items + [(4, items[0][1])]) == want | {(4, 0)}
+    monkeypatch.setattr(L, "PASS_LETTERS", 300)
     assert hits(spark, texts, items) == want
 
 
+def test_blocks_are_built_once_and_small(spark, monkeypatch):
+    items = [(k, " ".join(R.choices(WORDS, k=60))) for k in range(40)]
+    size = sum(len(L.letters(t)) for _, t in items)
+    monkeypatch.setattr(L, "BLOCK_LETTERS", size // 10)
+    monkeypatch.setattr(L.Automaton, "built", 0)
+    texts = [around(" ".join(t.split()[5:35])) for _, t in items] * 5
+    assert hits(spark, texts, items) == {(k % 40, k) for k in range(200)}
+    assert 10 <= L.Automaton.built <= 12
+    index = L.Index([(k, L.words_of(t)) for k, t in items])
+    assert len(pickle.dumps(index)) < 150 * size
+
+
+def test_filter_loses_nothing():
+    r = random.Random(4)
+    items = [(i, L.words_of(" ".join(r.choice(["a", "bb", "cab", "dada", "efgij"]) for _ in range(40)))) for i in range(6)]
+    index = L.Index(items, 8)
+    for _ in range(300):
+        i, ws = r.choice(items)
+        at = r.randint(0, len(ws) - 8)
+        q = ws[at : at + 8]
+        q[r.randint(1, 6)] = "zz"
+        text = " ".join(r.choices(["xy", "yx", "a", "bb"], k=r.randint(0, 30)) + q + r.choices(["xy", "yx", "cab"], k=r.randint(0, 30)))
+        s = L.codes(L.letters(text))
+        want = {(index.ids[k][0], n) for k, n, _, _ in index.blocks[0].passages(text, s)}
+        assert i in {k for k, _ in want}
+        assert {(index.ids[k][0], n) for k, n, _, _ in next(index.scan([text]))[1]} == want
+
+
 def test_automaton_against_brute_force():
     r = random.Random(9)
     for _ in range(15):
         items = [(i, " ".join(r.choice(["aba", "bab", "ab", "ba", "abc"]) for _ in range(9))) for i in range(4)]
-        a = L.Automaton(items, 4)
+        a = L.Automaton([(i, L.words_of(t)) for i, t in items], 4)
         texts = ["".join(L.words_of(t)) for _, t in items]
         s = "".join(r.choice("abc") for _ in range(300))
         best = [max(n for n in range(0, e + 1) if any(s[e - n : e] in t for t in texts)) for e in range(len(s) + 1)]
         want = [(e - best[e], e) for e in range(1, len(s) + 1) if best[e] >= a.least and (e == len(s) or best[e + 1] != best[e] + 1)]
-        assert a.segments(s) == want
+        assert a.segments(L.codes(s)) == want
 
 
 def test_scrub_removes_the_span(spark):
@@ -91,6 +122,16 @@ def test_scrub_removes_every_span_of_an_item(spark):
     assert got[3].text is None
 
 
+def test_parts_that_meet_when_a_span_is_gone(spark):
+    other = " ".join(WORDS[300:340])
+    text = " ".join(WORDS[:200]) + " " + " ".join(ITEM[:13]) + " " + other + " " + " ".join(ITEM[13:30]) + " " + " ".join(WORDS[400:500])
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, " ".join(ITEM)), (8, other)], "item_id bigint, text string")
+    got = L.scrub(d, "doc_id", "text", e, "item_id", "text")
+    assert L.leaks(got, "doc_id", "text", e, "item_id", "text").count() == 0
+    assert got.first().removed_words == 70
+
+
 @pytest.mark.parametrize("bad", ["<", "&#x110000;", "<p", "&&amp;", "퟿"])
 def test_odd_markup_does_not_fail(bad):
     assert isinstance(L.plain(bad * 50), str)
