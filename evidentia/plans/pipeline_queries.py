@@ -9,9 +9,12 @@ from evidentia.common import clean_id, table, usable
 from evidentia.functions import rules as R
 from evidentia.functions import scalars as S
 from evidentia.operators import graph as G
+from evidentia.operators import labelling as L
 from evidentia.operators import relational as O
 from evidentia.operators import sampling
+from evidentia.plans import vocabulary as V
 from evidentia.plans.base import Registry, coauthors, edges, mentions, papers, reviews, seeds, sql_usable, works
+from evidentia.plans.scalar_queries import _LINE, RECORD_SQL
 
 REG = Registry()
 q = REG.query
@@ -304,14 +307,13 @@ def q8_work_reconciliation(s, d):
     return g.groupBy(F.col("component").alias("grp")).agg(new.alias("work_id"), F.count("*").alias("versions"), F.max("cites").alias("most"), F.sum("cites").alias("total"))
 
 
-_TY = "case when contains(types, 'Editorial') then 'editorial_commentary' when regexp_matches(types, 'Book') then 'book_or_chapter' when contains(types, 'Dataset') and not contains(types, 'Journal') then 'dataset_or_software' else 'research_paper' end"
-
-
-@q(f"select rt, count(*) n, count(*) filter (where doi is not null) with_doi from (select {_TY} rt, doi from works) group by 1")
+@q(f"""with {RECORD_SQL}, one as (select work_id, min(record_type) record_type, arg_min(reasons, record_type) reasons from typed where src = 'register' group by 1),
+j as (select s.decision, coalesce(o.record_type, 'unclassified') record_type, coalesce(o.reasons, '') reasons from seeds s left join one o on o.work_id = s.work_id)
+select decision, record_type, case when record_type in ('research_paper', 'unclassified') then 'paper' else 'non_paper' end part, count(*) n, count(*) filter (where reasons <> '') queued from j group by 1, 2, 3""")
 def q9_record_types(s, d):
-    t = F.col("types")
-    rt = R.first_match([("editorial_commentary", t.contains("Editorial")), ("book_or_chapter", t.contains("Book")), ("dataset_or_software", t.contains("Dataset") & ~t.contains("Journal"))], "research_paper")
-    return works(s, d).groupBy(rt.alias("rt")).agg(F.count("*").alias("n"), F.count("doi").alias("with_doi"))
+    typed = L.record_types(works(s, d).select("work_id", "title", "types", "abstract"), "title", "types", "abstract", V.RECORDS)
+    x = L.partition(seeds(s, d).select("seed_row", "work_id", "decision"), typed, "work_id")
+    return x.groupBy("decision", "record_type", "part").agg(F.count("*").alias("n"), F.count_if(F.col("reasons") != "").alias("queued"))
 
 
 @q("""select seed_row, case when decision = 'core_relevant' and confidence < 0.6 then 'core_noise_audit' when decision = 'uncertain' then 'uncertain' when confidence < 0.5 then 'low_confidence' end reason from seeds""")
@@ -424,13 +426,12 @@ def q22_filter_measures(s, d):
     return x.select("work_id", k.alias("k"), F.round("r", 6).alias("p"), F.round((F.col("cites") + 1) / (F.col("med") + 1), 6).alias("res"))
 
 
-_STAGE_SQL = ", ".join(f"case when regexp_matches(t, '(?is){p}') then '{n}' end" for n, p in R.STAGES.items())
-
-
-@q(f"with x as (select coalesce(title,'') || ' ' || coalesce(abstract,'') t from works), y as (select unnest([{_STAGE_SQL}]) stage from x) select stage, count(*) n from y where stage is not null group by 1")
+@q(f"""with x as (select {_LINE.format("coalesce(title, '') || ' ' || coalesce(abstract, '')")} t from works) select 'imaging' stage, count(*) n from x where contains(t, ' electron microscopy ') or contains(t, ' imaging ') having count(*) > 0
+union all select 'tracing', count(*) from x where contains(t, ' tracing ') or contains(t, ' segmentation ') having count(*) > 0 union all select 'checking', count(*) from x where contains(t, ' annotations ') or contains(t, ' proofreaders ') having count(*) > 0
+union all select 'analysis', count(*) from x where contains(t, ' motifs ') or contains(t, ' models ') or contains(t, ' wiring ') having count(*) > 0""")
 def q23_labelling(s, d):
     t = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
-    x = works(s, d).select(t.alias("t")).select(F.explode(R.all_matches(R.patterns(F.col("t"), R.STAGES))).alias("stage"))
+    x = works(s, d).select(L.wordline(t).alias("t")).select(F.explode(L.tags(F.col("t"), V.STAGES)).alias("stage"))
     return x.groupBy("stage").agg(F.count("*").alias("n"))
 
 
@@ -508,12 +509,10 @@ def q33_bridges(s, d):
     return works(s, d).select(F.explode(hits).alias("bridge"), "work_id")
 
 
-_ORG_SQL = R.sql_first([(n, f"regexp_matches(t, '(?is){p}')") for n, p in R.ORGANISMS.items()], "'none'")
-
-
-@q(f"with x as (select coalesce(title, '') t, cast(year // 10 * 10 as int) dec from works) select {_ORG_SQL} organism, dec, count(*) n from x group by 1, 2")
+@q(f"""with x as (select {_LINE.format('title')} t, cast(year // 10 * 10 as int) dec from works) select case when contains(t, ' mouse ') or contains(t, ' mice ') then 'mouse' when contains(t, ' zebrafish ') then 'fish'
+when contains(t, ' locusts ') or contains(t, ' beetle ') or contains(t, ' fly ') then 'insect' when contains(t, ' songbird ') then 'bird' else 'none' end organism, dec, count(*) n from x group by 1, 2""")
 def q34_registry_chart(s, d):
-    org = R.first_match(R.patterns(F.col("title"), R.ORGANISMS), "none")
+    org = L.one_tag(L.wordline("title"), V.ORGANISMS, default="none")
     return works(s, d).groupBy(org.alias("organism"), (F.floor(F.col("year") / 10) * 10).cast("int").alias("dec")).agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from evidentia.common import table, usable
 from evidentia.functions import rules as R
 from evidentia.functions import scalars as S
+from evidentia.operators import labelling as L
 from evidentia.operators.relational import overlaps
+from evidentia.plans import vocabulary as V
 from evidentia.plans.base import Registry, mentions, papers, reviews, seeds, sql_usable, works
 
 REG = Registry()
@@ -198,41 +200,55 @@ def f26_period_rule(s, d):
     return papers(s, d).select("id", R.first_match([("history", y <= 2005), ("contemporary", y <= 2018)], "sota").alias("period"), R.first_match([("history_below_bar", (y <= 2005) & (c < 1200)), ("history_milestone", y <= 2005), ("keep", c >= 1500)], "below_bar").alias("why"))
 
 
-def _sql_quote(p: str) -> str:
-    return p.replace("'", "''")
-
-
-_QT = "lower(trim(regexp_replace(translate(coalesce(title,''), '‘’“”–—', '''''\"\"--'), '\\s+', ' ', 'g')))"
-_RULE_SQL = R.sql_first([(n, f"regexp_matches(t, '{_sql_quote(p)}')") for n, _, p in R.TITLE_RULES])
-_TYPE_SQL = R.sql_first([(t, f"regexp_matches(t, '{_sql_quote(p)}')") for _, t, p in R.TITLE_RULES], "'research_paper'")
-_WATCH_SQL = R.sql_all([(n, f"regexp_matches(t, '{p}')") for n, p in R.WATCH.items()])
-
-
-@q(f"with x as (select distinct lower({sql_usable('work_id')}) work_id, {_QT} t from web_search_queue) select work_id, t, {_RULE_SQL} as rule, {_TYPE_SQL} record_type, case when {_RULE_SQL} is null then {_WATCH_SQL} else '' end watch from x")
+_LINE = "' ' || trim(regexp_replace(replace(lower(coalesce({0}, '')), ':', ' : '), '[^\\p{{L}}\\p{{N}}:]+', ' ', 'g')) || ' '"
+#: Record types in SQL, written out by hand beside the operator.
+RECORD_SQL = f"""src as (select 'register' as src, work_id, title, types, abstract from works union all select distinct 'queue', lower({sql_usable('work_id')}), title, null, null from web_search_queue),
+c as (select *, regexp_replace({_LINE.format('title')}, '[0-9]+', '#', 'g') t, list_filter(list_transform(regexp_split_to_array(coalesce(types, ''), '[;,]'), lambda x: trim(x)), lambda x: x <> '' and lower(x) <> 'nan') k from src),
+h as (select *, case when starts_with(t, ' review for ') or starts_with(t, ' referee report ') or starts_with(t, ' decision letter ') or starts_with(t, ' author response ') then 'referee'
+ when starts_with(t, ' erratum ') or starts_with(t, ' corrigendum ') or starts_with(t, ' correction to ') or starts_with(t, ' correction : ') then 'mended' when starts_with(t, ' retraction ') or starts_with(t, ' retracted ') or starts_with(t, ' withdrawn ') then 'taken_back'
+ when starts_with(t, ' editorial ') or starts_with(t, ' comment on ') or starts_with(t, ' commentary ') or starts_with(t, ' reply to ') then 'opinion' when starts_with(t, ' chapter # ') then 'numbered' end as rule,
+ case when list_contains(k, 'Editorial') then 'Editorial' when list_contains(k, 'Book') and not list_contains(k, 'JournalArticle') then 'Book' when list_contains(k, 'Dataset') and not list_contains(k, 'JournalArticle') and not list_contains(k, 'Conference') then 'Dataset' end code0,
+ list_contains(k, 'LettersAndComments') weak, list_contains(k, 'Review') or list_contains(k, 'CaseReport') or list_contains(k, 'Study') research from c),
+m as (select *, case rule when 'referee' then 'peer_review_report' when 'mended' then 'erratum_correction' when 'taken_back' then 'retraction' when 'opinion' then 'editorial_commentary' when 'numbered' then 'book_or_chapter' end kind,
+ case code0 when 'Editorial' then 'editorial_commentary' when 'Book' then 'book_or_chapter' when 'Dataset' then 'dataset_or_software' end says0 from h),
+v as (select *, code0 is not null and research and kind is distinct from says0 veto from m),
+r as (select *, coalesce(kind, case when not veto then says0 end, 'research_paper') record_type, case when rule is null then concat_ws(';', case when contains(t, ' survey ') then 'survey' end, case when contains(t, ' project ') then 'named_project' end) else '' end watch,
+ case when not veto then says0 end says from v),
+f as (select *, veto or coalesce(kind <> says, false) or (record_type <> 'research_paper' and research) conflict, coalesce(kind = says, false) or (weak and coalesce(kind = 'editorial_commentary', false)) agree from r),
+l as (select *, greatest(0, case when rule is not null then case when agree or rule in ('referee', 'mended', 'taken_back') then 2 else 1 end when record_type <> 'research_paper' then 1 when weak or veto or watch <> '' then 1 else 2 end
+ - case when record_type <> 'research_paper' and conflict then 1 else 0 end - case when rule is not null and len(k) = 0 then 1 else 0 end) lvl from f),
+typed as (select src, work_id, title, record_type, case lvl when 2 then 'high' when 1 then 'medium' else 'low' end confidence, rule title_rule, case when not veto then code0 end code, case when veto then code0 end vetoed, conflict, watch,
+ concat_ws(';', case when record_type <> 'research_paper' and lvl < 2 then 'unconfirmed' end, case when record_type <> 'research_paper' and conflict then 'conflict' end,
+ case when record_type <> 'research_paper' and length(trim(coalesce(abstract, ''))) >= 600 then 'long_abstract' end, case when record_type = 'research_paper' and veto then 'vetoed_code' end, case when record_type = 'research_paper' and weak then 'weak_code' end, case when watch <> '' then 'watch' end) reasons from l)"""
+
+
+@q(f"with {RECORD_SQL} select * from typed")
 def f27_record_type(s, d):
-    t = F.lower(F.trim(F.regexp_replace(F.translate(F.coalesce("title", F.lit("")), "‘’“”–—", "''\"\"--"), r"\s+", " ")))
-    x = table(s, d, "web_search_queue").select(F.lower(usable("work_id")).alias("work_id"), t.alias("t")).distinct()
-    hits = [(n, k, F.col("t").rlike(p)) for n, k, p in R.TITLE_RULES]
-    rule = R.first_match([(n, w) for n, _, w in hits])
-    watch = F.array_join(R.all_matches([(n, F.col("t").rlike(p)) for n, p in R.WATCH.items()]), ";")
-    return x.select("work_id", "t", rule.alias("rule"), R.first_match([(k, w) for _, k, w in hits], "research_paper").alias("record_type"), F.when(rule.isNull(), watch).otherwise("").alias("watch"))
-
-
-_STAGE_SQL = R.sql_all([(n, f"regexp_matches(t, '(?is){p}')") for n, p in R.STAGES.items()])
-_ORG_SQL = R.sql_first([(n, f"regexp_matches(t, '(?is){p}')") for n, p in R.ORGANISMS.items()])
-
-
-@q(f"with x as (select work_id, coalesce(title,'') || ' ' || coalesce(abstract,'') t from works) select work_id, {_STAGE_SQL} stages, {_ORG_SQL} organism from x")
+    queue = table(s, d, "web_search_queue").select(F.lit("queue").alias("src"), F.lower(usable("work_id")).alias("work_id"), "title", F.lit(None).cast("string").alias("types"), F.lit(None).cast("string").alias("abstract")).distinct()
+    both = works(s, d).select(F.lit("register").alias("src"), "work_id", "title", "types", "abstract").unionByName(queue)
+    return L.record_types(both, "title", "types", "abstract", V.RECORDS).drop("types", "abstract")
+
+
+@q(f"""with x as (select work_id, {_LINE.format("coalesce(title, '') || ' ' || coalesce(abstract, '')")} t from works),
+y as (select *, concat_ws(';', case when contains(t, ' sparse tracing ') then 'sparse_tracing' end, case when contains(t, ' automated segmentation ') then 'automated_segmentation' end, case when contains(t, ' graph based ') then 'graph_view' end) own from x)
+select work_id, concat_ws(';', case when contains(t, ' electron microscopy ') or contains(t, ' imaging ') then 'imaging' end, case when contains(t, ' tracing ') or contains(t, ' segmentation ') then 'tracing' end, case when contains(t, ' annotations ') or contains(t, ' proofreaders ') then 'checking' end,
+case when contains(t, ' motifs ') or contains(t, ' models ') or contains(t, ' wiring ') then 'analysis' end) stages,
+case when own <> '' then own else concat_ws(';', case when contains(t, ' electron microscopy ') then 'microscopy' end, case when contains(t, ' volumes ') or contains(t, ' dataset ') then 'volume_data' end) end methods,
+case when contains(t, ' mushroom body ') or contains(t, ' mushroom bodies ') then 'insect' when contains(t, ' lateral line ') then 'fish' when contains(t, ' mouse ') or contains(t, ' mice ') then 'mouse' when contains(t, ' zebrafish ') then 'fish'
+when contains(t, ' locusts ') or contains(t, ' beetle ') or contains(t, ' fly ') then 'insect' when contains(t, ' songbird ') then 'bird' end organism from y""")
 def f28_tags(s, d):
-    t = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
-    w = works(s, d).select("work_id", t.alias("t"))
-    return w.select("work_id", F.array_join(R.all_matches(R.patterns(F.col("t"), R.STAGES)), ";").alias("stages"), R.first_match(R.patterns(F.col("t"), R.ORGANISMS)).alias("organism"))
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
+    w, t = works(s, d).select("work_id", L.wordline(text).alias("t")), F.col("t")
+    owner = R.first_match([(o, L.holds(t, V.STRUCTURES[n])) for n, o in V.OWNERS.items()])
+    return w.select("work_id", F.array_join(L.tags(t, V.STAGES), ";").alias("stages"), F.array_join(L.tags_or(t, V.METHODS, V.GENERAL_METHODS), ";").alias("methods"), L.one_tag(t, V.ORGANISMS, owner).alias("organism"))
 
 
-@q(f"select doc_id, coalesce(regexp_matches(text, '(?i){R.TRAINING}') and not regexp_matches(text, '(?i){R.ML_TRAINING}'), false) people_training from documents")
+@q(f"""with x as (select doc_id, {_LINE.format('text')} t from documents) select doc_id,
+(contains(t, ' training course ') or contains(t, ' training courses ') or contains(t, ' curriculum ') or contains(t, ' workshop ') or contains(t, ' tutorial ') or contains(t, ' summer school ') or contains(t, ' students '))
+and not (contains(t, ' neural network ') or contains(t, ' neural networks ') or contains(t, ' deep learning ') or contains(t, ' classifier ') or contains(t, ' trained network ') or contains(t, ' training data ')) people_training from x""")
 def f29_training_veto(s, d):
-    t = F.coalesce("text", F.lit(""))
-    return table(s, d, "documents").select("doc_id", (t.rlike("(?i)" + R.TRAINING) & ~t.rlike("(?i)" + R.ML_TRAINING)).alias("people_training"))
+    x = table(s, d, "documents").select("doc_id", L.wordline("text").alias("t"))
+    return x.select("doc_id", (L.holds(F.col("t"), V.TRAINING) & ~L.holds(F.col("t"), V.MACHINES)).alias("people_training"))
 
 
 @q("""select seed_row, case when decision is distinct from 'core_relevant' then null when core_gate is not null then core_gate when regexp_matches(coalesce(title,''), '(?i)reconstruct|segmentation|proofread') then 'em_or_synaptic_reconstruction' else 'analysis_on_wiring_graph' end gate from seeds""")
