@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.common import clean_id, table
+from evidentia.common import clean_id, table, usable
 from evidentia.llm import components, leakage, linkage, mixing, names, reading, survivor
 
 QUERIES: dict = {}
@@ -42,22 +42,35 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.hash_to_min(_pairs(spark, d), "a", "b")
 
 
-@query
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _works_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per work of a duplicate group, each field the last usable one by checked_at."""
     rows = table(spark, d, "exploration_duplicates_expanded").select(
-        clean_id("preprint_wid").alias("a"), clean_id("published_wid").alias("b"), survivor.bare_doi("preprint_doi").alias("da"), survivor.bare_doi("published_doi").alias("db"), "cites_a", "cites_b", "checked_at"
+        clean_id("preprint_wid").alias("a"), clean_id("published_wid").alias("b"), survivor.bare_doi("preprint_doi").alias("da"), survivor.bare_doi("published_doi").alias("db"), "cites_a", "cites_b",
+        usable("title").alias("title"), usable(F.col("pub_years").cast("string")).alias("years"), usable("pair_class").alias("pair_class"), "checked_at",
     ).where("a <> b")
     groups = components.hash_to_min(rows, "a", "b")
     side = lambda w, p, doi, n: F.struct(F.col(w).alias("wid"), F.lit(p).alias("published"), F.col(doi).alias("doi"), F.col(n).cast("bigint").alias("cites"))
-    sides = rows.select(F.explode(F.array(side("a", 0, "da", "cites_a"), side("b", 1, "db", "cites_b"))).alias("x"), "checked_at").select("x.*", "checked_at")
-    works = sides.groupBy("wid").agg(
-        F.max("published").alias("published"), survivor.last_known(sides, "wid", F.col("doi"), "checked_at").alias("doi"), survivor.last_known(sides, "wid", F.col("cites"), "checked_at").alias("cites")
-    )
-    works = works.join(groups, works["wid"] == groups["rec_id"]).withColumn("has_doi", F.col("doi").isNotNull().cast("int"))
-    best = survivor.survivors(works, "group_id", "wid", "published", "has_doi", "cites", ["doi"])
+    more = ["title", "years", "pair_class"]
+    sides = rows.select(F.explode(F.array(side("a", 0, "da", "cites_a"), side("b", 1, "db", "cites_b"))).alias("x"), *more, "checked_at").select("x.*", *more, "checked_at")
+    last = {c: survivor.last_known(sides, "wid", F.col(c), "checked_at") for c in ["doi", "cites", *more]}
+    month = (F.year(F.max("checked_at")) * 12 + F.month(F.max("checked_at"))).alias("month")
+    works = sides.groupBy("wid").agg(F.max("published").alias("published"), month, *[v.alias(c) for c, v in last.items()])
+    return works.join(groups, works["wid"] == groups["rec_id"]).withColumn("has_doi", F.col("doi").isNotNull().cast("int"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    best = survivor.survivors(_works_of_groups(spark, d), "group_id", "wid", ["published", "has_doi"], "cites", ["doi"], ["month"])
     return best.select("group_id", F.col("keep").alias("keep_wid"), F.coalesce("doi", F.lit("")).alias("keep_doi"), F.col("cites").cast("bigint").alias("keep_cites"))
 
 
+@query
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """p4_found with a record built field by field: what the first layer does not know comes from the next that does."""
+    best = survivor.survivors(_works_of_groups(spark, d), "group_id", "wid", ["published", "has_doi"], "cites", ["doi", "title", "years", "pair_class"], ["month"])
+    return best.select("group_id", "keep", "doi", "title", "years", "pair_class", F.col("cites").cast("bigint").alias("cites"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "manual_seed_works").select(F.explode(F.split("authors", r"[;|]")).alias("name"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evidentia.common import cut, usable
 
-SALTS = 8
+#: Records of a group for each copy of its cells, and groups with copies that may be broadcast.
+PER_COPY, FEW = 20_000, 50_000
 
 
 def bare_doi(c: Column | str) -> Column:
@@ -22,32 +23,53 @@ def last_known(rows: DataFrame, ident: str, value: Column, at: str) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.struct(F.coalesce(F.col(at), F.lit("0001-01-01").cast("timestamp")), value)))
 
 
-def survivors(records: DataFrame, group: str, ident: str, trust: str, complete: str, measure: str, fills: list[str]) -> DataFrame:
+def survivors(records: DataFrame, group: str, ident: str, levels: list[str], measure: str, fills: list[str], recency: list[str] | None = None) -> DataFrame:
     """(group, keep, *fills, measure): per group the record to keep and the best known value of each field.
 
-    records: one row per (group, ident). trust and complete are small whole numbers (levels), measure is a number or null (below all numbers);
-    more is better in each. A record is in the skyline of its group if no record is at least as good in all three and better in one. Of the
-    skyline, the lexicographic policy keeps the record with the most trust, then completeness, then measure, then the smallest id. A field
-    takes the value of the first record in that order, among the first dominance layer that knows it: a layer is the skyline of what the
-    earlier ones left. The measure is the largest of the group, which a skyline always holds; null where no record has one.
+    records: one row per (group, ident). levels (trust, completeness and the like, by importance) and recency (say, the month of the last check) are small
+    whole numbers, measure is a number or null (below all numbers); more is better in each. A record is dominated if another is at least as good in all
+    of them and better in a level or the measure: being older alone does not put a record out, being newer keeps it in. Of the skyline, those that are
+    not dominated, the policy keeps the record with the highest levels in their order, then measure, then the smallest id. A field takes the value of the
+    first record in that order, among the first dominance layer that knows it: a layer is the skyline of what the earlier ones left. The measure is the
+    largest of the group, which a skyline always holds; null where no record has one.
 
-    Dominance needs the largest measure per (group, trust, complete) only: at most levels x levels numbers a group, however large, found with
-    partial aggregates and joined back over SALTS copies. Only groups that still miss a field some later record knows go on to another layer.
-    Null groups or ids do not speak. An empty table gives no rows.
+    Dominance needs the largest measure per group and combination of levels only, found with partial aggregates and joined back over copies that follow the
+    size of the group. Only groups that still miss a field some later record knows go on to another layer. Null levels are 0. Null groups or ids do not
+    speak. An empty table gives no rows.
     """
     low = F.lit(float("-inf"))
+    ls, rs = [f"t{k}" for k in range(len(levels))], [f"r{k}" for k in range(len(recency or []))]
     rest = records.where(F.col(group).isNotNull() & F.col(ident).isNotNull()).select(
-        F.col(group).alias("g"), F.col(ident).alias("i"), F.coalesce(F.col(trust).cast("int"), F.lit(0)).alias("t"), F.coalesce(F.col(complete).cast("int"), F.lit(0)).alias("c"),
+        F.col(group).alias("g"), F.col(ident).alias("i"), *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(x) for x, c in zip(ls + rs, levels + (recency or []))],
         F.coalesce(F.col(measure).cast("double"), low).alias("m"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fills)],
     )
     rest = cut(rest)
-    order = F.struct((-F.col("t")).alias("t"), (-F.col("c")).alias("c"), (-F.col("m")).alias("m"), F.col("i").alias("i"))
+    order = F.struct(*[(-F.col(x)).alias(x) for x in ls], (-F.col("m")).alias("m"), F.col("i").alias("i"))
+
+    def beats(x: Column) -> Column:
+        as_good, better = x["m"] >= F.col("m"), x["m"] > F.col("m")
+        for c in ls:
+            as_good, better = as_good & (x[c] >= F.col(c)), better | (x[c] > F.col(c))
+        for c in rs:
+            as_good = as_good & (x[c] >= F.col(c))
+        return as_good & better
+
     layers = []
     while True:
-        cells = rest.groupBy("g", "t", "c").agg(F.max("m").alias("m")).groupBy("g").agg(F.collect_list(F.struct("t", "c", "m")).alias("cells"))
-        cells = cells.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        beats = lambda x: (x["t"] >= F.col("t")) & (x["c"] >= F.col("c")) & (x["m"] >= F.col("m")) & ((x["t"] > F.col("t")) | (x["c"] > F.col("c")) | (x["m"] > F.col("m")))
-        seen = rest.withColumn("_s", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")).join(cells, ["g", "_s"]).withColumn("beaten", F.exists("cells", beats)).drop("cells", "_s")
+        cells = rest.groupBy("g", *ls, *rs).agg(F.max("m").alias("m"), F.count("*").alias("n")).groupBy("g").agg(F.collect_list(F.struct(*ls, *rs, "m")).alias("cells"), F.sum("n").alias("n"))
+        cells = cut(cells.withColumn("copies", F.least(F.ceil(F.col("n") / PER_COPY), F.lit(1 << 16)).cast("int")))
+        most = cells.agg(F.max("copies")).first()[0] or 1
+        if most == 1:
+            seen = rest.join(cells.select("g", "cells"), "g")
+        else:  # groups of many records are spread
+            few = cells.where("copies > 1").select("g", "copies")
+            copied = cells.select("g", "cells", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_s"))
+            spread = rest.join(F.broadcast(few), "g", "left").withColumn("_s", F.when(F.col("copies") > 1, F.pmod(F.xxhash64("i"), F.col("copies"))).otherwise(0).cast("int")) if few.limit(FEW + 1).count() <= FEW else None
+            if spread is None:
+                spread = rest.withColumn("_s", F.pmod(F.xxhash64("i"), F.lit(64)).cast("int"))
+                copied = cells.select("g", "cells", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_s"))
+            seen = spread.join(copied, ["g", "_s"]).drop("_s", "copies")
+        seen = seen.withColumn("beaten", F.exists("cells", beats)).drop("cells")
         known = [F.min_by(f"f{k}", F.when(~F.col("beaten") & F.col(f"f{k}").isNotNull(), order)).alias(f"f{k}") for k in range(len(fills))]
         later = [F.max(F.when(F.col("beaten"), F.col(f"f{k}").isNotNull())).alias(f"l{k}") for k in range(len(fills))]
         found = cut(seen.groupBy("g").agg(F.min_by("i", F.when(~F.col("beaten"), order)).alias("keep"), F.max("m").alias("m"), *known, *later))

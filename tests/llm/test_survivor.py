@@ -7,24 +7,27 @@ from evidentia.llm import survivor as S
 SCHEMA = "g string, i string, t int, c int, m double, doi string, cells string, keep0 string"
 
 
-def run(spark, rows):
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    return {r.g: (r.keep, r.doi, r.m) for r in S.survivors(df, "g", "i", "t", "c", "m", ["doi"]).collect()}
+def run(spark, rows, recency=None):
+    df = spark.createDataFrame([(*r[:6], "x", r[6] if len(r) > 6 else "y") for r in rows], SCHEMA)
+    return {r.g: (r.keep, r.doi, r.m) for r in S.survivors(df, "g", "i", ["t", "c"], "m", ["doi"], recency).collect()}
 
 
-def brute(rows):
+def brute(rows, layers=None):
     low = float("-inf")
     out = {}
     for g in {r[0] for r in rows if r[0]}:
-        rest = [(r[2] or 0, r[3] or 0, low if r[4] is None else r[4], r[1], r[5]) for r in rows if r[0] == g and r[1]]
-        order = sorted(rest, key=lambda x: (-x[0], -x[1], -x[2], x[3]))
-        best, doi = max(x[2] for x in rest), None
+        rest = [(r[2] or 0, r[3] or 0, low if r[4] is None else r[4], int(r[6]) if len(r) > 6 else 0, r[1], r[5]) for r in rows if r[0] == g and r[1]]
+        order = sorted(rest, key=lambda x: (-x[0], -x[1], -x[2], x[4]))
+        best, doi, depth = max(x[2] for x in rest), None, 0
         while rest and doi is None:
-            front = [x for x in rest if not any(all(a >= b for a, b in zip(y[:3], x[:3])) and y[:3] != x[:3] for y in rest)]
-            known = [x for x in order if x in front and x[4]]
-            doi = known[0][4] if known else None
+            front = [x for x in rest if not any(all(a >= b for a, b in zip(y[:4], x[:4])) and y[:3] != x[:3] for y in rest)]
+            known = [x for x in order if x in front and x[5]]
+            doi = known[0][5] if known else None
             rest = [x for x in rest if x not in front]
-        out[g] = (order[0][3], doi, None if best == low else best)
+            depth += 1
+        if layers is not None and doi:
+            layers.append(depth)
+        out[g] = (order[0][4], doi, None if best == low else best)
     return out
 
 
@@ -34,6 +37,18 @@ def test_random_groups(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_recency_and_later_layers_decide(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(f"g{r.randint(0, 25)}", f"i{n:03d}", r.randint(0, 2), r.randint(0, 1), r.choice([None, 1.0, 5.0]), f"d{n}" if r.random() < 0.08 else None, str(r.randint(0, 3))) for n in range(500)]
+    layers = []
+    want = brute(rows, layers)
+    assert {2, 3} <= set(layers)
+    assert run(spark, rows, ["keep0"]) == want
+    assert any(want[g][1] != x[1] for g, x in brute([x[:6] for x in rows]).items())
+    monkeypatch.setattr(S, "PER_COPY", 5)
+    assert run(spark, rows, ["keep0"]) == want
+
+
 def test_a_later_layer_fills_the_field(spark):
     rows = [("g", "a", 2, 1, 9.0, None), ("g", "b", 1, 1, 5.0, None), ("g", "c", 0, 0, 1.0, "d")]
     assert run(spark, rows) == {"g": ("a", "d", 9.0)}
