@@ -54,6 +54,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evidentia-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # with the driver; drop_cut is earlier
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.common import cut
 from evidentia.functions.scalars import similarity_ratio
 
 
@@ -113,15 +114,16 @@ def unique_match(left: DataFrame, right: DataFrame, key: str, ident: str) -> Dat
     return left.join(side, key, "left").withColumn("hit", F.when(F.col("_n") == 1, F.col("_min"))).withColumn("ambiguous", F.when(F.col("_n") > 1, F.col("_ids")))
 
 
-def first_containing(fragments: DataFrame, frag: str, docs: DataFrame, text: str, ident: str, most: int = 2000) -> DataFrame:
-    """fragments with `first`, the smallest id of a text that holds the fragment, ignoring case. Fragments travel as a list of at most `most`; more go in rounds."""
-    rows = sorted({r[0] for r in fragments.select(frag).where(F.col(frag).isNotNull()).distinct().collect()})
-    found = None
-    for at in range(0, len(rows), most):
-        part = F.array(*map(F.lit, rows[at : at + most]))
-        hit = docs.select(F.col(ident).alias("_i"), F.lower(text).alias("_t")).select("_i", F.explode(F.filter(part, lambda x: F.contains(F.col("_t"), x))).alias(frag)).groupBy(frag).agg(F.min("_i").alias("first"))
-        found = hit if found is None else found.unionByName(hit)
-    return fragments.withColumn("first", F.lit(None).cast("bigint")) if found is None else fragments.join(found, frag, "left")
+def first_containing(fragments: DataFrame, frag: str, docs: DataFrame, text: str, ident: str, gram: int = 4) -> DataFrame:
+    """fragments with `first`, the smallest id of a text that holds the fragment, ignoring case. Texts meet the fragments whose first `gram` characters they
+    hold, in a join, and are then searched for these only. A null fragment is found nowhere."""
+    known = fragments.select(F.lower(frag).alias("_f")).where("_f <> ''").distinct().withColumn("_k", F.substring("_f", 1, gram))
+    sizes = [r[0] for r in known.select(F.length("_k")).distinct().collect()]  # at most `gram` of them
+    t = docs.select(F.col(ident).alias("_i"), F.lower(text).alias("_t")).where("_t is not null")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_t"), i, n))
+    keyed = t.select("_i", "_t", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("_k")) if sizes else t.select("_i", "_t", F.lit(None).cast("string").alias("_k"))
+    found = keyed.join(known, "_k").where(F.contains("_t", F.col("_f"))).groupBy("_f").agg(F.min("_i").alias("first"))
+    return fragments.join(found, F.lower(frag) == F.col("_f"), "left").drop("_f")
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -197,17 +199,37 @@ def set_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return got.withColumn("jac", F.round(F.col("both_n") / F.col("u"), 6))
 
 
-def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with `rank` 1..n in the given order, without sorting in one task: a range-partitioned sort, then the sizes of the partitions before."""
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df sorted over range partitions and written once, with _p, the partition, and _i, the place in it."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     s = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_m"))
-    s = s.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    from evidentia.common import cut
+    return cut(s.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"))
+
+
+def _before(sums: DataFrame) -> DataFrame:
+    """(_p, _b): the sum of _n over the partitions before. A row per partition, so one task and a broadcast are enough."""
+    return F.broadcast(sums.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b")))
+
+
+def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `rank` 1..n in the given order, without sorting in one task: a range-partitioned sort, then the sizes of the partitions before."""
+    s = _ranged(df, order)
+    return s.join(_before(s.groupBy("_p").agg(F.count("*").alias("_n"))), "_p").withColumn("rank", F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")
+
+
+def rank_within(df: DataFrame, group: Column, order: list[Column]) -> DataFrame:
+    """df with `rank` 1..n within each group (null is one), however few groups hold all rows: ranks over all rows by group and order, less what is before
+    the group. Only the groups' offsets are joined back."""
+    r = global_rank(df.withColumn("_g", group), [F.asc_nulls_first("_g"), *order])
+    first = r.groupBy(F.col("_g").alias("_h")).agg((F.min("rank") - 1).alias("_f"))
+    return r.join(first, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("rank", F.col("rank") - F.col("_f")).drop("_g", "_h", "_f")
+
 
-    s = cut(s.drop("_m"))
-    sizes = s.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
-    return s.join(F.broadcast(before), "_p").withColumn("rank", F.col("_b") + F.col("_i") + 1).drop("_p", "_i", "_b")
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with `name`, the sum of `value` up to and with each row in the given order: running sums of each range partition, and those of the partitions before."""
+    s = _ranged(df, order)
+    here = F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return s.withColumn("_here", here).join(_before(s.groupBy("_p").agg(F.sum(value).alias("_n"))), "_p").withColumn(name, F.col("_b") + F.col("_here")).drop("_p", "_i", "_b", "_here")
 
 
 def percentile_rank(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -221,9 +243,14 @@ def average_rank(df: DataFrame, value: str, within_: str | None = None) -> DataF
     """df with r, the mean rank of its value as a share, within a group or over all. Distinct values are counted and ranked, rows only joined to them."""
     keys = [within_] if within_ else []
     c = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = c.select(*keys, value, ((upto - (F.col("_c") - 1) / 2.0) / F.sum("_c").over(w)).alias("r"))
+    total = c.groupBy(*keys).agg(F.sum("_c").alias("_t"))
+    upto = running_total(c, [F.asc(k) for k in [*keys, value]], "_c", "_u")
+    if within_:
+        total = total.join(upto.groupBy(within_).agg(F.min(F.col("_u") - F.col("_c")).alias("_f")), within_)
+        ranks = upto.join(total, within_).withColumn("_u", F.col("_u") - F.col("_f"))
+    else:
+        ranks = upto.withColumn("_t", F.lit(total.first()[0]))
+    ranks = ranks.select(*keys, value, ((F.col("_u") - (F.col("_c") - 1) / 2.0) / F.col("_t")).alias("r"))
     return df.join(ranks, [*keys, value])
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.relational import rank_within
+
 
 def stratified(df: DataFrame, stratum: str, ident: str, share: float, seed: int) -> DataFrame:
     """max(1, round(share * N)) rows of each stratum, those with the smallest hash of seed and id: the same rows whatever the partitioning."""
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")))
-    n = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.round(F.count("*") * F.lit(share)).cast("int")).alias("_n"))
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy(draw, ident)))
-    return ranked.join(n, ranked[stratum].eqNullSafe(n[stratum])).where("_k <= _n").select(*[ranked[c] for c in df.columns])
+    n = df.groupBy(F.col(stratum).alias("_h")).agg(F.greatest(F.lit(1), F.round(F.count("*") * F.lit(share)).cast("int")).alias("_n"))
+    ranked = rank_within(df, F.col(stratum), [draw, F.asc(ident)])
+    return ranked.join(n, F.col(stratum).eqNullSafe(F.col("_h"))).where("rank <= _n").select(*df.columns)
 
 
 def audit(df: DataFrame, when: Column, ident: str, one_in: int, seed: int) -> DataFrame:

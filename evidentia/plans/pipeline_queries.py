@@ -421,9 +421,8 @@ select work_id, k, round(p, 6) p, round((cites + 1) / (med + 1), 6) res from x j
 def q22_filter_measures(s, d):
     w = works(s, d).where("year is not null and cites is not null").select("work_id", "year", "cites")
     med = w.groupBy("year").agg(F.median("cites").alias("med"))
-    x = O.average_rank(w, "cites", "year").join(med, "year")
-    k = F.row_number().over(Window.partitionBy(F.floor(F.col("year") / 10)).orderBy(F.desc("cites"), "work_id"))
-    return x.select("work_id", k.alias("k"), F.round("r", 6).alias("p"), F.round((F.col("cites") + 1) / (F.col("med") + 1), 6).alias("res"))
+    x = O.average_rank(O.rank_within(w, F.floor(F.col("year") / 10), [F.desc("cites"), F.asc("work_id")]), "cites", "year").join(med, "year")
+    return x.select("work_id", F.col("rank").cast("int").alias("k"), F.round("r", 6).alias("p"), F.round((F.col("cites") + 1) / (F.col("med") + 1), 6).alias("res"))
 
 
 @q(f"""with x as (select {_LINE.format("coalesce(title, '') || ' ' || coalesce(abstract, '')")} t from works) select 'imaging' stage, count(*) n from x where contains(t, ' electron microscopy ') or contains(t, ' imaging ') having count(*) > 0

@@ -14,7 +14,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     cells = [
         seeds.select(F.lit(f).alias("field"), F.col("seed_row").alias("row_no"), F.col(f).alias("cell")) for f in ("roles", "publication_types")
     ] + [views.select(F.lit("citation_roles").alias("field"), "row_no", F.col("citation_roles").alias("cell"))]
-    return packed.split_packed(cells[0].unionByName(cells[1]).unionByName(cells[2]), "cell", "field", ["row_no"]).distinct()
+    return packed.split_packed(cells[0].unionByName(cells[1]).unionByName(cells[2]), "cell", "field", ["row_no"])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -383,8 +383,8 @@ def w3_rank_in_year(s, d):
 
 @q("select work_id, cast(row_number() over (partition by year // 10 order by cites desc, work_id) as int) k from works where cites is not null and year is not null")
 def w4_quota_rank(s, d):
-    w = Window.partitionBy(F.floor(F.col("year") / 10)).orderBy(F.desc("cites"), "work_id")
-    return works(s, d).where("cites is not null and year is not null").select("work_id", F.row_number().over(w).alias("k"))
+    w = works(s, d).where("cites is not null and year is not null").select("work_id", "cites", "year")
+    return O.rank_within(w, F.floor(F.col("year") / 10), [F.desc("cites"), F.asc("work_id")]).select("work_id", F.col("rank").cast("int").alias("k"))
 
 
 @q("with m as (select year, median(cites) med from works where cites is not null and year is not null group by 1) select work_id, round((cites + 1) / (med + 1), 6) res from works w join m on m.year = w.year where cites is not null")
@@ -418,9 +418,10 @@ def w9_capped_neighbours(s, d):
 # --- sort and top-k
 
 
-@q("select seed_row, decision, confidence from seeds order by confidence desc nulls last, seed_row limit 40")
+@q("select seed_row, decision, confidence, row_number() over (order by confidence desc nulls last, seed_row) place from seeds")
 def t1_mixed_sort(s, d):
-    return seeds(s, d).select("seed_row", "decision", "confidence").orderBy(F.desc_nulls_last("confidence"), "seed_row").limit(40)
+    x = seeds(s, d).select("seed_row", "decision", "confidence")
+    return O.global_rank(x, [F.desc_nulls_last("confidence"), F.asc("seed_row")]).withColumnRenamed("rank", "place")
 
 
 @q("select work_id, cites from works order by cites desc nulls last, work_id limit 100")
@@ -441,10 +442,10 @@ def t4_most_common(s, d):
     return table(s, d, "pass2_errors").where("error is not null").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(10)
 
 
-@q("""select seed_row, cast(case decision when 'core_relevant' then 0 when 'adjacent_relevant' then 1 when 'role_bridge' then 2 else 3 end as int) ord from seeds order by ord, seed_row limit 50""")
+@q("""select seed_row, cast(case decision when 'core_relevant' then 0 when 'adjacent_relevant' then 1 when 'role_bridge' then 2 else 3 end as int) ord, row_number() over (order by ord, seed_row) place from seeds""")
 def t5_custom_order(s, d):
     ord_ = F.when(F.col("decision") == "core_relevant", 0).when(F.col("decision") == "adjacent_relevant", 1).when(F.col("decision") == "role_bridge", 2).otherwise(3)
-    return seeds(s, d).select("seed_row", ord_.alias("ord")).orderBy("ord", "seed_row").limit(50)
+    return O.global_rank(seeds(s, d).select("seed_row", ord_.alias("ord")), [F.asc("ord"), F.asc("seed_row")]).withColumnRenamed("rank", "place")
 
 
 # --- set operations

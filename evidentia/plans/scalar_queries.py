@@ -126,11 +126,17 @@ def f17_clean_abstract(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(S.clean_abstract("text")).alias("clean"))
 
 
-@q(r"""select doc_id, md5(substr(split_part(text, 'References', 1), 1, 500) || '|' || case when regexp_matches(text, '(?i)discussion') then substr(text, greatest(1, length(text) - 450)) else '' end) chosen from documents where text is not null""")
+@q(r"""with x as (select doc_id, split_part(text, 'References', 1) body from documents where text is not null), y as (select *, string_split(lower(body), 'discussion')[-1] rest, contains(lower(body), 'discussion') has from x),
+z as (select doc_id, substr(body, 1, 5000) front, case when has then substr(body, length(body) - length(rest) - 9, 4500) when length(body) > 8000 then right(body, 3500) else '' end tail from y)
+select doc_id, md5(substr(case when tail <> '' and not contains(front, tail) then front || '|' || tail else front end, 1, 12000)) chosen from z""")
 def f18_section_select(s, d):
-    t = F.col("text")
-    tail = F.when(t.rlike("(?i)discussion"), F.expr("substring(text, greatest(1, length(text) - 450))")).otherwise("")
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(F.concat(F.substring(F.substring_index(t, "References", 1), 1, 500), F.lit("|"), tail)).alias("chosen"))
+    """The front of a text, and what follows the last heading Discussion before the references or else the end of a long text, where the front lacks it."""
+    x = table(s, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", "References", 1).alias("body"))
+    x = x.withColumn("rest", F.length(F.substring_index(F.lower("body"), "discussion", -1))).withColumn("size", F.length("body"))
+    tail = F.when(F.lower("body").contains("discussion"), F.substring("body", F.col("size") - F.col("rest") - 9, F.lit(4500))).when(F.col("size") > 8000, F.substring("body", F.col("size") - 3499, F.lit(3500))).otherwise("")
+    x = x.select("doc_id", F.substring("body", 1, 5000).alias("front"), tail.alias("tail"))
+    both = F.when((F.col("tail") != "") & ~F.contains("front", F.col("tail")), F.concat("front", F.lit("|"), "tail")).otherwise(F.col("front"))
+    return x.select("doc_id", F.md5(F.substring(both, 1, 12000)).alias("chosen"))
 
 
 @q(r"""select doc_id, cast(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) as int) n from documents where text is not null""")
