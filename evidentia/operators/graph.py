@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.common import cut, drop_cut
 
 
+#: Links between communities that one task finishes.
+BOUNDED = 100_000
+
+
 def project(mentions: DataFrame, work: str, person: str) -> DataFrame:
     """(a, b, w): pairs of persons a < b with the number of works they share. Work is quadratic in the authors of a work, never in rows of a person."""
     m = mentions.select(F.col(work).alias("k"), F.col(person).alias("p")).where("p is not null").distinct()
@@ -68,17 +75,22 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
     e = edges.join(v.select(F.col("id").alias("src")), "src", "left_semi").join(v.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", w.alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("sw"))
     e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("sw")).alias("p")))
-    rank = v.join(out.withColumnRenamed("src", "id").select("id", F.lit(True).alias("has")), "id", "left").select("id", "t", F.coalesce("has", F.lit(False)).alias("has"), F.lit(1.0 / n).alias("r"))
+    rank = v.join(out.withColumnRenamed("src", "id").select("id", F.lit(True).alias("has")), "id", "left").select("id", "t", F.coalesce("has", F.lit(False)).alias("has"), F.lit(1.0 / n).alias("old"), F.lit(1.0 / n).alias("r"))
     rank = cut(rank)
+    # the mass of nodes without outgoing edges, and the change of the round, in one pass
+    state = lambda x: x.agg(F.coalesce(F.sum(F.when(~F.col("has"), F.col("r"))), F.lit(0.0)), F.sum(F.abs(F.col("r") - F.col("old")))).first()
+    loss, _ = state(rank)
     for _ in range(rounds):
-        loss = rank.agg(F.sum(F.when(~F.col("has"), F.col("r")))).first()[0] or 0.0
         flow = e.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("r")).alias("f"))
         back = F.lit(damping * loss + 1 - damping) * F.col("t")
         new = cut(rank.join(flow, "id", "left").select("id", "t", "has", F.col("r").alias("old"), (F.lit(damping) * F.coalesce("f", F.lit(0.0)) + back).alias("r")))
         drop_cut(rank)
         rank = new
-        if tol is not None and new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < n * tol:
+        loss, moved = state(rank)
+        if tol is not None and moved < n * tol:
             break
+    drop_cut(e)
+    drop_cut(v)
     return rank.select("id", F.col("r").alias("rank"))
 
 
@@ -88,12 +100,13 @@ def core_numbers(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     return _h_fixpoint(cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()))
 
 
-def in_core_numbers(nodes: DataFrame, edges: DataFrame, most: int = 80) -> DataFrame:
-    """(id, core): the largest k up to `most` for which the node survives repeated removal of nodes with fewer than k incoming edges."""
+def in_core_numbers(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, core): the largest k, up to `most` if given, for which the node survives repeated removal of nodes with fewer than k incoming edges."""
     ids = nodes.select("id")
     e = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
     got = _h_fixpoint(cut(e.select(F.col("dst").alias("x"), F.col("src").alias("y")).distinct()))
-    return ids.join(got, "id", "left").select("id", F.least(F.coalesce("core", F.lit(0)), F.lit(most)).alias("core"))
+    core = F.coalesce("core", F.lit(0))
+    return ids.join(got, "id", "left").select("id", (core if most is None else F.least(core, F.lit(most))).alias("core"))
 
 
 def _h_fixpoint(e: DataFrame) -> DataFrame:
@@ -130,26 +143,57 @@ def saturate(start: DataFrame, edges: DataFrame, passes: int) -> DataFrame:
 
 
 def betweenness(edges: DataFrame, a: str, b: str, top: int, weight: str | None = None) -> DataFrame:
-    """(id, betweenness) on the subgraph of the `top` nodes of highest degree, normalised; by hops, or by `weight` as distance. The bound makes it one task's work."""
-    return _bounded(edges, a, b, top, weight).groupBy().applyInPandas(_brandes, "id string, betweenness double")
+    """(id, betweenness) on the subgraph of the `top` nodes of highest degree, normalised; by hops, or with `weight` as distance and in the degree. The
+    bound on the nodes is the measure's own and makes it one task's work."""
+    e = edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("a <> b")
+    deg = e.select(F.explode(F.array("a", "b")).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("n")).orderBy(F.desc("n"), "id").limit(top).select("id")
+    inner = e.join(deg.withColumnRenamed("id", "a"), "a", "left_semi").join(deg.withColumnRenamed("id", "b"), "b", "left_semi")
+    return inner.groupBy().applyInPandas(_brandes, "id string, betweenness double")
 
 
-def communities(edges: DataFrame, a: str, b: str, top: int, weight: str | None = None) -> DataFrame:
-    """(id, community) by greedy modularity on the subgraph of the `top` nodes of highest degree; communities are numbered by size, then by smallest id."""
-    return _bounded(edges, a, b, top, weight).groupBy().applyInPandas(_greedy_modularity, "id string, community int")
+def communities(edges: DataFrame, a: str, b: str, weight: str | None = None, bounded: int = BOUNDED) -> DataFrame:
+    """(id, community) by greedy modularity on the whole graph; communities are numbered by size, then by smallest id.
 
+    As long as more than `bounded` links between communities are left, every community picks the neighbour whose joining gains most modularity, and
+    those that pick each other join, which the pair with the largest gain of all always does. What is left then goes on in one task, pair by pair, the
+    largest gain first. Loops do not count, repeated edges add up, null ends do not speak, an empty graph has no communities.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = edges.select(F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"), w.alias("w")).where("x <> y")
+    e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"), "w")).groupBy("x", "y").agg(F.sum("w").alias("w")))
+    total = e.agg(F.sum("w")).first()[0]
+    if not total:
+        return e.select(F.col("x").alias("id"), F.lit(0).alias("community")).limit(0)
+    share = cut(e.groupBy("x").agg((F.sum("w") / total).alias("k")))
+    label = share.select(F.col("x").alias("id"), F.col("x").alias("c"))
+    while e.count() > 2 * bounded:
+        gain = e.join(share, "x").join(share.select(F.col("x").alias("y"), F.col("k").alias("l")), "y").select("x", "y", (F.col("w") / total - F.col("k") * F.col("l")).alias("g")).where("g > 0")
+        rank = F.struct("g", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+        best = gain.groupBy("x").agg(F.max_by("y", rank).alias("y"))
+        pick = cut(best.join(best.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).where("x < y").select(F.col("y").alias("was"), F.col("x").alias("now")))
+        if pick.limit(1).count() == 0:
+            break
+        moved = lambda df, c: df.join(pick, df[c] == pick["was"], "left").withColumn(c, F.coalesce("now", c)).drop("was", "now")
+        label = cut(moved(label, "c"))
+        share = cut(moved(share, "x").groupBy("x").agg(F.sum("k").alias("k")))
+        new = cut(moved(moved(e, "x"), "y").where("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")))
+        drop_cut(e)
+        e = new
 
-def _bounded(edges: DataFrame, a: str, b: str, top: int, weight: str | None) -> DataFrame:
-    e = edges.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("a <> b")
-    deg = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(top).select("id")
-    return e.join(deg.withColumnRenamed("id", "a"), "a", "left_semi").join(deg.withColumnRenamed("id", "b"), "b", "left_semi")
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _greedy_modularity(pdf, total)
 
+    left = e.where("x < y").join(share, "x").join(share.select(F.col("x").alias("y"), F.col("k").alias("l")), "y")
+    joined = left.groupBy().applyInPandas(finish, "was string, now string")
+    label = cut(label.join(joined, label["c"] == joined["was"], "left").select("id", F.coalesce("now", "c").alias("c")))
+    sizes = label.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    from evidentia.operators.relational import global_rank
 
-def _brandes(pdf):
-    import heapq
+    numbered = global_rank(sizes, [F.desc("n"), F.asc("first")]).select("c", (F.col("rank") - 1).cast("int").alias("community"))
+    return label.join(numbered, "c").select("id", "community")
 
-    import pandas as pd
 
+def _brandes(pdf: pd.DataFrame) -> pd.DataFrame:
     adj: dict = {}
     for x, y, w in zip(pdf["a"], pdf["b"], pdf["w"]):
         adj.setdefault(x, {})[y] = w
@@ -183,32 +227,36 @@ def _brandes(pdf):
     return pd.DataFrame({"id": list(score), "betweenness": [v * scale for v in score.values()]})
 
 
-def _greedy_modularity(pdf):
-    import pandas as pd
-
-    between: dict = {}
-    for x, y, w in zip(pdf["a"], pdf["b"], pdf["w"]):
-        between.setdefault(x, {})[y] = between.get(x, {}).get(y, 0.0) + w
-        between.setdefault(y, {})[x] = between.get(y, {}).get(x, 0.0) + w
-    total = sum(sum(v.values()) for v in between.values()) or 1.0
-    share = {x: sum(v.values()) / total for x, v in between.items()}
-    members = {x: [x] for x in between}
-    while True:
-        gain, pair = 1e-12, None
-        for x in sorted(between):
-            for y, w in sorted(between[x].items()):
-                if x < y and (g := 2 * (w / total - share[x] * share[y])) > gain + 1e-15:
-                    gain, pair = g, (x, y)
-        if pair is None:
+def _greedy_modularity(pdf: pd.DataFrame, total: float) -> pd.DataFrame:
+    """(was, now): communities that join another, pair by pair by the largest gain, equal gains by the smaller names. pdf: x, y, w, and their shares k, l."""
+    between: dict[str, dict[str, float]] = {}
+    share: dict[str, float] = {}
+    for x, y, w, k, m in zip(pdf["x"], pdf["y"], pdf["w"], pdf["k"], pdf["l"]):
+        between.setdefault(x, {})[y] = w
+        between.setdefault(y, {})[x] = w
+        share[x], share[y] = k, m
+    gain = lambda x, y: between[x][y] / total - share[x] * share[y]
+    heap = [(-gain(x, y), x, y) for x in between for y in between[x] if x < y]
+    heapq.heapify(heap)
+    now: dict[str, str] = {}
+    while heap:
+        g, x, y = heapq.heappop(heap)
+        if x not in between or y not in between[x] or abs(g + gain(x, y)) > 1e-15:
+            continue  # an older state of the pair; the present one is in the heap too
+        if -g <= 1e-12:
             break
-        x, y = pair
         for z, w in between.pop(y).items():
             del between[z][y]
             if z != x:
-                between[x][z] = between[x].get(z, 0.0) + w
-                between[z][x] = between[x][z]
+                between[x][z] = between[z][x] = between[x].get(z, 0.0) + w
         share[x] += share.pop(y)
-        members[x] += members.pop(y)
-    ranked = sorted(members.values(), key=lambda m: (-len(m), min(m)))
-    rows = [(i, k) for k, m in enumerate(ranked) for i in sorted(m)]
-    return pd.DataFrame(rows, columns=["id", "community"])
+        now[y] = x
+        for z in between[x]:
+            heapq.heappush(heap, (-gain(x, z), min(x, z), max(x, z)))
+    rows = []
+    for y in now:
+        x = y
+        while x in now:
+            x = now[x]
+        rows.append((y, x))
+    return pd.DataFrame(rows, columns=["was", "now"])

@@ -66,39 +66,43 @@ def g6_boundary_support(s, d):
     return e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("support"))
 
 
-def _rank_sql(rounds: int, weight: str, teleport: str) -> str:
-    """Power iteration unrolled, each round a table of its own."""
+_TOL, _MOST = 1e-6, 24
+
+
+def _rank_sql(weight: str, teleport: str) -> str:
+    """Power iteration unrolled, each round a table of its own; the first round that moved less than the tolerance counts."""
     head = f"""with nd as (select id, {teleport} t from papers), v as materialized (select id, t / (select sum(t) from nd) t from nd), ee as (select e.src, e.dst, {weight} w from edges e join papers a on a.id = e.src join papers b on b.id = e.dst),
-sw as (select src, sum(w) s from ee group by 1), p as materialized (select ee.src, ee.dst, w / s p from ee join sw on sw.src = ee.src), r0 as materialized (select id, 1.0 / (select count(*) from v) r from v)"""
-    for k in range(1, rounds + 1):
+sw as materialized (select src, sum(w) s from ee group by 1), p as materialized (select ee.src, ee.dst, w / s p from ee join sw on sw.src = ee.src), r0 as materialized (select id, 1.0 / (select count(*) from v) r from v)"""
+    for k in range(1, _MOST + 1):
         head += f""", f{k} as (select p.dst id, sum(p.p * r.r) f from p join r{k - 1} r on r.id = p.src group by 1),
 r{k} as materialized (select v.id, 0.85 * (coalesce(f, 0) + v.t * (select coalesce(sum(r), 0) from r{k - 1} where id not in (select src from sw))) + 0.15 * v.t r from v left join f{k} on f{k}.id = v.id)"""
-    return head + f" select id, round(r, 8) r from r{rounds}"
+    all_ = " union all ".join(f"select {k} k, a.id, a.r, abs(a.r - b.r) moved from r{k} a join r{k - 1} b on b.id = a.id" for k in range(1, _MOST + 1))
+    return head + f", x as materialized ({all_}), d as (select k from x group by k having sum(moved) < {_TOL} * count(*)) select id, round(r, 8) r from x where k = (select coalesce(min(k), {_MOST}) from d)"
 
 
-@q(_rank_sql(8, "cast(1 as double)", "cast(1 as double)"))
+@q(_rank_sql("cast(1 as double)", "cast(1 as double)"))
 def g7_page_rank(s, d):
-    return G.page_rank(papers(s, d).select("id"), edges(s, d), 8).select("id", F.round("rank", 8).alias("r"))
+    return G.page_rank(papers(s, d).select("id"), edges(s, d), 100, tol=_TOL).select("id", F.round("rank", 8).alias("r"))
 
 
-@q(_rank_sql(6, "cast(1 + (e.src + e.dst) % 3 as double)", "case when core then cast(5 as double) else 1 end"))
+@q(_rank_sql("cast(1 + (e.src + e.dst) % 3 as double)", "case when core then cast(5 as double) else 1 end"))
 def g8_personalized_rank(s, d):
     e = edges(s, d).withColumn("w", 1 + (F.col("src") + F.col("dst")) % 3)
     n = papers(s, d).select("id", F.when(F.col("core"), 5.0).otherwise(1.0).alias("t"))
-    return G.page_rank(n, e, 6, weight="w", teleport="t").select("id", F.round("rank", 8).alias("r"))
+    return G.page_rank(n, e, 100, weight="w", teleport="t", tol=_TOL).select("id", F.round("rank", 8).alias("r"))
 
 
-@q(_rank_sql(6, "1.0 / (1 + abs(a.year - b.year))", "exp(ln(10) / (select max(year) - min(year) from papers) * (year - (select min(year) from papers)))"))
+@q(_rank_sql("1.0 / (1 + abs(a.year - b.year))", "exp(ln(10) / (select max(year) - min(year) from papers) * (year - (select min(year) from papers)))"))
 def g9_temporal_rank(s, d):
+    from math import log
+
     p = papers(s, d)
     y = p.agg(F.min("year"), F.max("year")).first()
     years = p.select("id", "year")
     e = edges(s, d).join(years.select(F.col("id").alias("src"), F.col("year").alias("y1")), "src").join(years.select(F.col("id").alias("dst"), F.col("year").alias("y2")), "dst").select("src", "dst", (1.0 / (1 + F.abs(F.col("y1") - F.col("y2")))).alias("w"))
-    from math import log
-
     alpha = log(10) / max(1, (y[1] or 0) - (y[0] or 0))
     n = years.select("id", F.exp(F.lit(alpha) * (F.col("year") - (y[0] or 0))).alias("t"))
-    return G.page_rank(n, e, 6, weight="w", teleport="t").select("id", F.round("rank", 8).alias("r"))
+    return G.page_rank(n, e, 100, weight="w", teleport="t", tol=_TOL).select("id", F.round("rank", 8).alias("r"))
 
 
 @q()
@@ -166,12 +170,12 @@ def g19_weighted_degree(s, d):
 
 @q()
 def g20_betweenness(s, d):
-    return G.betweenness(coauthors(s, d), "a", "b", 200)
+    return G.betweenness(coauthors(s, d), "a", "b", 400, "w")
 
 
 @q()
 def g21_communities(s, d):
-    return G.communities(coauthors(s, d), "a", "b", 200, "w")
+    return G.communities(coauthors(s, d), "a", "b", "w")
 
 
 @q("""with home as (select author, arg_min(comm, (-c, comm)) comm from (select author, comm, count(*) c from mentions where comm is not null group by 1, 2) group by 1) select comm, count(*) people, min(author) first_person from home group by 1""")
