@@ -166,3 +166,35 @@ def test_cut_refuses_a_cluster_without_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Fake)
+
+
+def test_fuzzy_titles_by_brute_force(spark):
+    import difflib
+
+    r = random.Random(5)
+    words = ["wiring", "retina", "mice", "layer", "cortex", "motifs", "12", "13", "nucleus", "of the"]
+    titles = []
+    for k in range(120):
+        t = "comparative anatomy of the " + " ".join(r.choice(words) for _ in range(4)) + f" {''.join(r.choice('bdaeiko') for _ in range(6))}"
+        titles += [t, "".join(c for c in t if r.random() > 0.04), t + r.choice([" a", " as", " map"]), "a " + t]
+    titles += ["a" * 18 + "bcdef", "a" * 18 + "bcdefghij", ""]  # 4 letters of 50 left over: just 0.92
+    left = [(k, t, r.choice([None, 2000, 2001, 2003]), None) for k, t in enumerate(titles[::2] + [titles[-2]])]
+    right = [(f"w{k}", t, r.choice([None, 2000, 2002, 2004]), None) for k, t in enumerate(titles[1::2] + titles[:9] + [titles[-3]])]
+    want = {}
+    for k, t, y, _ in left:
+        for w, u, z, _ in right:
+            if (t[:18] == u[:18] or t[-18:] == u[-18:]) and (y is None or z is None or abs(y - z) <= 1):
+                got = round(difflib.SequenceMatcher(None, t, u).ratio(), 6)
+                if got >= 0.92:
+                    want[k, w] = got
+    a, b = spark.createDataFrame(left, "seed_row int, t string, year int, d1 string"), spark.createDataFrame(right, "work_id string, t2 string, y2 int, d2 string")
+    assert {(x.seed_row, x.work_id): x.ratio for x in O.fuzzy_titles(a, b, 0.92, 1).collect()} == want
+    assert len(want) > 100
+
+
+def test_fuzzy_titles_leave_out_most_pairs_of_a_block(spark):
+    r = random.Random(6)
+    made = lambda: "comparative anatomy of the " + " ".join("".join(r.choice("bdaeikomnst") for _ in range(6)) for _ in range(5))
+    a = spark.createDataFrame([(k, made(), 2000, None) for k in range(300)], "seed_row int, t string, year int, d1 string")
+    b = spark.createDataFrame([(f"w{k}", made(), 2000, None) for k in range(300)], "work_id string, t2 string, y2 int, d2 string")
+    assert O.close_texts(a, b, 0.92, 1).count() < 900  # of 90,000
