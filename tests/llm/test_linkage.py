@@ -105,3 +105,24 @@ def test_first_words_leave_out_no_like_titles(spark):
     df = spark.createDataFrame([(q, c) for q in titles for c in titles], "q string, c string").select("q", "c", L._first_word(F.col("q")).alias("q_first"), L._first_word(F.col("c")).alias("c_first"))
     rows = df.withColumn("may", L.may_share_title()).collect()
     assert all(r.may for r in rows if L.title_similarity(r.q, r.c)) and sum(r.may for r in rows) < 0.8 * len(rows)
+
+
+def test_best_assignment_by_brute_force():
+    def total(rows, used):
+        if not rows:
+            return 0
+        head, *rest = rows
+        return max([total(rest, used)] + [round(x * 1e6) + total(rest, used | {b}) for b, x in head if b not in used])
+
+    for seed in range(300):
+        r = random.Random(seed)
+        pairs = [(a, b, r.choice([0.72, 0.8, 0.9, 1.0, r.random() + 0.001])) for a in range(r.randint(1, 6)) for b in range(r.randint(1, 6)) if r.random() < 0.6]
+        got = L.best_assignment(pairs)
+        assert len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == len(got)
+        rows = [[(b, x) for a2, b, x in pairs if a2 == a] for a in sorted({a for a, _, _ in pairs})]
+        assert sum(round(x * 1e6) for _, _, x in got) == total(rows, frozenset()), seed
+
+
+def test_one_to_one(spark):
+    pairs = spark.createDataFrame([("q1", "w1", 0.9), ("q1", "w2", 0.89), ("q2", "w1", 0.88), ("q3", "w3", 0.8), ("q4", "w3", 0.9), ("q4", "w3", 0.7)], "queue_id string, work_id string, confidence double")
+    assert sorted(tuple(r) for r in L.one_to_one(pairs).collect()) == [("q1", "w2", 0.89), ("q2", "w1", 0.88), ("q4", "w3", 0.9)]
