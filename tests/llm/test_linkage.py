@@ -126,3 +126,16 @@ def test_best_assignment_by_brute_force():
 def test_one_to_one(spark):
     pairs = spark.createDataFrame([("q1", "w1", 0.9), ("q1", "w2", 0.89), ("q2", "w1", 0.88), ("q3", "w3", 0.8), ("q4", "w3", 0.9), ("q4", "w3", 0.7)], "queue_id string, work_id string, confidence double")
     assert sorted(tuple(r) for r in L.one_to_one(pairs).collect()) == [("q1", "w2", 0.89), ("q2", "w1", 0.88), ("q4", "w3", 0.9)]
+
+
+def test_keys_that_nothing_asks_for_do_not_travel(spark):
+    rows = [("w1", "Wiring of the retina", None, 2011, "Abigail Tavocen; Oliver Namesake"), ("w2", "Motifs of gating", None, 2001, "Irene Solovar")]
+    d = L.describe(frame(spark, rows[:1]), "wid", "title", "doi", "year", "authors", 0).unionByName(L.describe(frame(spark, rows), "wid", "title", "doi", "year", "authors", 1))
+    keys = L.sort_keys(d.withColumn("base", L._key_title(d["title"]))).collect()
+    assert sorted((r.side, r.id, r.key) for r in keys) == [(k, "w1", f"s|{n}|wiring of retina") for k in (0, 1) for n in ("namesake", "tavocen")]
+
+
+def test_like_authors_are_never_left_out(spark):
+    cells = ["Tavocen A; Dupofaez CM", "Abigail Tavocen and Charles M. Dupofaez", "Tavcoen, Abigail; et al.", "O. Name-Sake", "Namesake, O", "van der Berg J.", "Berg, Jan van der", "X", "Li W", "- ; -", None]
+    rows = spark.createDataFrame([(q, c) for q in cells for c in cells], "q_authors string, c_authors string").withColumn("may", L.may_share_author()).collect()
+    assert all(r.may for r in rows if L.author_similarity(r.q_authors, r.c_authors) != 0) and sum(r.may for r in rows) < 0.8 * len(rows)
