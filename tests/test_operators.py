@@ -198,3 +198,24 @@ def test_fuzzy_titles_leave_out_most_pairs_of_a_block(spark):
     a = spark.createDataFrame([(k, made(), 2000, None) for k in range(300)], "seed_row int, t string, year int, d1 string")
     b = spark.createDataFrame([(f"w{k}", made(), 2000, None) for k in range(300)], "work_id string, t2 string, y2 int, d2 string")
     assert O.close_texts(a, b, 0.92, 1).count() < 900  # of 90,000
+
+
+def test_fuzzy_titles_with_edits_at_both_ends(spark):
+    import difflib
+
+    r = random.Random(7)
+    titles = ["comparative anatomy of the retina in mice", "variability of the antennal lobe under kaga anaesthesia", "wiring of the cortex", "zz", ""]
+    titles += ["".join(r.choice("bdaeiko ") for _ in range(r.randint(3, 60))) for _ in range(30)]
+    edited = [t[:1] + t[2:-2] + t[-1:] for t in titles] + ["x" + t + "x" for t in titles] + titles
+    left = [(k, t, r.choice([None, 0, 2000, 2001]), None) for k, t in enumerate(titles)]
+    right = [(f"w{k}", t, r.choice([None, 0, 1, 2, 2000, 2002]), None) for k, t in enumerate(edited)]
+    want, ends = {}, 0
+    for k, t, y, _ in left:
+        for w, u, z, _ in right:
+            got = round(difflib.SequenceMatcher(None, t, u).ratio(), 6)
+            if got >= 0.92 and (y is None or z is None or abs(y - z) <= 1):
+                want[k, w] = got
+                ends += t[:18] == u[:18] or t[-18:] == u[-18:]
+    a, b = spark.createDataFrame(left, "seed_row int, t string, year int, d1 string"), spark.createDataFrame(right, "work_id string, t2 string, y2 int, d2 string")
+    assert {(x.seed_row, x.work_id): x.ratio for x in O.fuzzy_titles(a, b, 0.92, 1, ends=0).collect()} == want
+    assert len(want) > ends > 10
