@@ -139,3 +139,29 @@ def test_like_authors_are_never_left_out(spark):
     cells = ["Tavocen A; Dupofaez CM", "Abigail Tavocen and Charles M. Dupofaez", "Tavcoen, Abigail; et al.", "O. Name-Sake", "Namesake, O", "van der Berg J.", "Berg, Jan van der", "X", "Li W", "- ; -", None]
     rows = spark.createDataFrame([(q, c) for q in cells for c in cells], "q_authors string, c_authors string").withColumn("may", L.may_share_author()).collect()
     assert all(r.may for r in rows if L.author_similarity(r.q_authors, r.c_authors) != 0) and sum(r.may for r in rows) < 0.8 * len(rows)
+
+
+def test_names_that_cannot_be_one_are_parted_before_they_travel(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    names = ["tavocen", "tavcoen", "atvocne", "tavocena", "vocen", "berg", "bergg", "breg", "ebrg"] + ["tav" + "".join(r.choice("aeioubdfgk") for _ in range(r.randint(1, 5))) for _ in range(40)]
+    rows = spark.createDataFrame([(q, c) for q in names for c in names], "q string, c string").withColumn("may", L.near_names(F.col("q"), F.col("c"))).collect()
+    may = {(x.q, x.c) for x in rows if x.may}
+    assert may >= {(x.q, x.c) for x in rows if L._person_match([x.q], x.c, [])} and len(may) < 0.3 * len(rows)
+    title = "Functional imaging of the retina during sleep"
+    register = [(f"w{k}", title, None, 2001, f"A. {n.title()}") for k, n in enumerate(names[9:])] + [("v1", title, None, 2001, "Jan van der Ketuwav"), ("v2", title, None, 2001, "Zugade, Quentin; Dupofaez, Ann")]
+    queue = [("q1", title, None, 2001, "Charles Ketuwva, PhD; Jan Ketuwav"), ("q2", title, None, 2001, "A. Tavzzzzzz")]
+    sides = [L.describe(frame(spark, x), "wid", "title", "doi", "year", "authors", k).withColumn("base", L._key_title(F.col("title"))) for k, x in ((0, queue), (1, register))]
+    assert {(x.qid, x.cid) for x in L.exact_pairs(sides[0].unionByName(sides[1])).collect()} == {("q1", "v1")}
+    assert [x.surnames for x in sides[0].orderBy("id").collect()] == [["*charlesketuwva", "ketuwav"], ["tavzzzzzz"]]
+
+
+def test_words_that_cannot_be_one_are_parted_before_they_travel(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    words = ["neurs", "neurons", "neuron", "micros", "microscopy", "wiring", "wirign", "wirings", "iwrngi", "anaesthesia", "anaetshesai", "287", "312", "ii", "of", "em"]
+    words += ["".join(r.choice(x) for x in ("kv", "ae", "lr", "aeiou", "tvk", "aeiou", "r")[: r.randint(4, 7)]) for _ in range(40)]
+    rows = spark.createDataFrame([(q, c) for q in words for c in words], "q string, c string").withColumn("may", L.near_words(F.col("q"), F.col("c"))).collect()
+    assert all(x.may for x in rows if L._same_words([x.q], [x.c], False) or L._same_words([x.q], [x.c], True)) and sum(x.may for x in rows) < 0.15 * len(rows)
